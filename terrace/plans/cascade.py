@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,15 +120,10 @@ def _prune(schema, wanted, at, get, own, lists) -> tuple[_Rows, dict[str, Column
     """What keeps an element of the layer ``at``, and its fields, with pruned child arrays. after: the children that
     must not be empty once pruned."""
 
-    def reach(path: tuple[str, ...]) -> Column:
-        c = get(path[0])
-        for p in path[1:]:
-            c = c[p]
-        return c
-
-    first = [F.coalesce(p(reach(path)), F.lit(False)) for path, p in own.get(at, ())]
+    found = [p(_at(path[1:])(get(path[0]))) for path, p in own.get(at, ())]
+    first = [F.coalesce(c, F.lit(False)) for c in found] if at else found  # bare at the root, where the reader can use them
     for arr, path, p in lists.get(at, ()):
-        values = F.transform(get(arr), lambda x, path=path: _down(x, path))
+        values = F.transform(get(arr), _at(path))
         first.append(F.coalesce(p(values), F.lit(False)))
     fields: dict[str, Column] = {}
     after: list[str] = []
@@ -145,10 +141,12 @@ def _prune(schema, wanted, at, get, own, lists) -> tuple[_Rows, dict[str, Column
     return _Rows(first, after), fields
 
 
-def _down(x: Column, path) -> Column:
-    for p in path:
-        x = x[p]
-    return x
+def _at(path: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda c, p: c[p], path, x)
+
+
+def _filled(name: str) -> Callable[[Column], Column]:
+    return lambda x: F.size(x[name]) > 0
 
 
 def _pruned_array(arr: Column, schema, wanted, at, own, lists) -> Column:
@@ -170,7 +168,7 @@ def _pruned_array(arr: Column, schema, wanted, at, own, lists) -> Column:
 
     arr = F.transform(arr, built)
     for c in after:
-        arr = F.filter(arr, lambda x, c=c: F.size(x[c]) > 0)
+        arr = F.filter(arr, _filled(c))
     return arr
 
 
