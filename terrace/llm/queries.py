@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, lines, packing
+from terrace.llm import chat, html, lines, packing, permutation, pieces, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,41 @@ from m group by doc_id
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+TOP_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
+
+@query(TOP_SQL)
+def op4_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return topk.top_k(v, v.where("id % 20 = 0"), 20).withColumn("score", F.col("score").cast("long"))
+
+
+@query()
+def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every document, decodes it again from the ids, and compares."""
+    out = pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "n_bytes", "decoded_sha256", "exact")
+
+
+@query()
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return permutation.search(e, e.where("vec_id % 20 = 0"), 20)
+
+
+@query()
+def op9_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
