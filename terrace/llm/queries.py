@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, html, lines, packing, permutation, pieces, topk
+from terrace.llm import chat, html, lines, packing, permutation, pieces, secret_scan, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,21 @@ def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.fit(docs, toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.sha2(F.array_join("secrets", "\n"), 256).alias("secrets_sha256"), F.sha2("text", 256).alias("redacted_sha256"))
