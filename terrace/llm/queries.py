@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, html, lines, packing, permutation, pieces, secret_scan, topk, toxicity
+from terrace.llm import chat, html, lines, near_dup, packing, permutation, pieces, secret_scan, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op7_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.sha2(F.array_join("secrets", "\n"), 256).alias("secrets_sha256"), F.sha2("text", 256).alias("redacted_sha256"))
+
+
+@query()
+def op3_order_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
