@@ -120,11 +120,14 @@ def vote(forest: list[tuple], value: Column) -> Column:
     return reduce(lambda a, b: a + b, map(one, forest)) / len(forest)
 
 
-def scan(docs: DataFrame, forest: list[tuple] | None = None, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
-    """doc_id, n_candidates, secrets (array of distinct values, sorted), text (with the secrets replaced by ``mark``)."""
+def scan(docs: DataFrame, forest: list[tuple] | None = None, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", threshold: float = 0.5, mark: str = "<SECRET>", extra: list[str] | None = None) -> DataFrame:
+    """doc_id, n_candidates, secrets (array of distinct values, sorted), text (with the secrets replaced by ``mark``), and the
+    columns named in ``extra``."""
     forest = train(findings(docs.sparkSession)) if forest is None else forest
     where = F.col(path) if path else F.lit(None).cast("string")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), where.alias("path"))
+    kept = [F.col(c).alias(f"__{c}") for c in extra or []]
+    passed = [f"__{c}" for c in extra or []]
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), where.alias("path"), *kept)
     d = d.withColumn("words", F.split("text", r"\s+", -1))
     marked = F.transform("words", lambda w, i: F.when((F.char_length(w) >= MIN) & w.rlike("[0-9]") & w.rlike(SHAPE), i))
     d = d.withColumn("at", F.filter(marked, lambda i: i.isNotNull()))
@@ -135,11 +138,11 @@ def scan(docs: DataFrame, forest: list[tuple] | None = None, doc_id: str = "doc_
         values = F.filter(F.regexp_extract_all(word, F.lit(f"({SHAPE})"), F.lit(1)), lambda v: v.rlike("[0-9]"))
         return F.transform(values, lambda v: F.struct(v.alias("value"), before.alias("before")))
 
-    d = d.select("doc_id", "text", "path", F.flatten(F.transform("at", cores)).alias("found"))
+    d = d.select("doc_id", "text", "path", *passed, F.flatten(F.transform("at", cores)).alias("found"))
     described = F.transform("found", lambda c: F.struct(c["value"].alias("value"), F.struct(*(x.cast("double").alias(n) for n, x in features(c["value"], c["before"], F.col("path")).items())).alias("f")))
     d = d.withColumn("described", described)
     yes = F.transform(F.filter("described", lambda c: vote(forest, c["f"]) >= threshold), lambda c: c["value"])
-    d = d.select("doc_id", "text", F.size("found").cast("long").alias("n_candidates"), F.array_sort(F.array_distinct(yes)).alias("secrets"))
+    d = d.select("doc_id", "text", *passed, F.size("found").cast("long").alias("n_candidates"), F.array_sort(F.array_distinct(yes)).alias("secrets"))
     longest_first = F.array_sort("secrets", lambda a, b: F.char_length(b) - F.char_length(a))
     clean = F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return d.select("doc_id", "n_candidates", "secrets", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")).alias("text"))
+    return d.select("doc_id", "n_candidates", "secrets", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")).alias("text"), *(F.col(f"__{c}").alias(c) for c in extra or []))
