@@ -40,7 +40,7 @@ REPEATED = re.compile(r"[^\W_]*([^\W\d_])\1{2,}[^\W_]*")
 ANY = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 SIZE = 64  # character classes of the language model
-SAMPLE = 6000
+SAMPLE = 4000
 BEGINNINGS = (4, 5, 6)
 
 
