@@ -125,7 +125,7 @@ def op9_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.fit(docs, toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
 
 
 @query()

@@ -37,8 +37,8 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_]){3,}[^\W_](?![^\W_])")
 # a look-alike between or before letters, inside one word
 DISGUISED = re.compile(rf"[^\W_]*(?:(?<=[^\W\d_])[{re.escape(SYMBOLS)}]+(?=[^\W\d_])|(?<![^\s])[{re.escape(SYMBOLS)}](?=[^\W\d_]{{2}}))[^\s,.;:?]*")
 REPEATED = re.compile(r"[^\W_]*([^\W\d_])\1{2,}[^\W_]*")
+THREE = re.compile(r"([^\W\d_])\1\1")
 ANY = re.compile(r"[^\W\d_]+")
-DIGITS = re.compile(r"\d+")
 SIZE = 64  # character classes of the language model
 SAMPLE = 4000
 BEGINNINGS = (4, 5, 6)
@@ -94,6 +94,7 @@ class Channel:
         smooth = counts + 0.05
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).astype(np.float32)
         self.known: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
 
     def word(self, raw: str) -> str:
         out = self.known.get(raw)
@@ -130,11 +131,31 @@ class Channel:
 
     def restore(self, text: str) -> str:
         """The text, lower-cased, with disguised words restored."""
-        text = text.lower()
-        text = SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_]", "", m[0])), text)
+        text = self.joined(text)
         if any(c in text for c in SYMBOLS):
             text = DISGUISED.sub(lambda m: m[0] if m[0].isdigit() else self.word(m[0]), text)
-        return REPEATED.sub(lambda m: self.word(m[0]), text)
+        return REPEATED.sub(lambda m: self.word(m[0]), text) if THREE.search(text) else text
+
+    def joined(self, text: str) -> str:
+        """The text, lower-cased, with letters that are set apart put together."""
+        return SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_]", "", m[0])), text.lower())
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """Restored words of what stands between white space, kept for the next time."""
+        out = self.tokens.get(token)
+        if out is None:
+            out = tuple(ANY.findall(self.restore(token)))
+            if len(self.tokens) < 2 * self.KEPT:
+                self.tokens[token] = out
+        return out
+
+    def bag(self, text: str) -> Counter:
+        """Restored words of a text with their numbers."""
+        out: Counter = Counter()
+        for token, n in Counter(self.joined(text).split()).items():
+            for w in self.words(token):
+                out[w] += n
+        return out
 
 
 def features(word: str) -> list[str]:
@@ -150,31 +171,29 @@ class Model:
     coefficients: tuple[float, ...]
     any_toxic: bool = True
 
-    def inputs(self, words: Counter, memory: dict[str, float]) -> list[float]:
+    def inputs(self, bag: Counter, seen: dict[str, tuple], words=lambda token: (token,)) -> list[float]:
+        """bag: tokens with their numbers. seen: what is known of tokens: words, hits, strongest hit."""
         hits, strongest, total = 0, 0.0, 0
-        for w, n in words.items():
-            v = memory.get(w)
-            if v is None:
-                v = max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0)
-                if len(memory) < 400_000:
-                    memory[w] = v
-            total += n
-            if v:
-                hits += n
-                strongest = max(strongest, v)
+        for token, n in bag.items():
+            known = seen.get(token)
+            if known is None:
+                values = [max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0) for w in words(token)]
+                known = (len(values), sum(v > 0 for v in values), max(values, default=0.0))
+                if len(seen) < 400_000:
+                    seen[token] = known
+            total += n * known[0]
+            if known[1]:
+                hits += n * known[1]
+                strongest = max(strongest, known[2])
         return [1.0, math.log1p(hits), strongest, math.log1p(100 * hits / max(20, total))]
 
-    def score(self, words: Counter, memory: dict[str, float]) -> float:
+    def score(self, bag: Counter, seen: dict[str, tuple], words) -> float:
         if not self.any_toxic:
             return 0.0
-        z = sum(a * b for a, b in zip(self.coefficients, self.inputs(words, memory), strict=True))
+        z = sum(a * b for a, b in zip(self.coefficients, self.inputs(bag, seen, words), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def words_of(text: str) -> Counter:
-    return Counter(ANY.findall(text))
-
-
 def _lexicon(docs: list[tuple[Counter, int]]) -> dict[str, float]:
     """Features at least ten times as frequent in toxic documents, in 2 % of them and 3 at least (2 where there are few)."""
     seen = [Counter(), Counter()]
@@ -205,22 +224,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int =
     return w
 
 
-def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: text (all documents, for the language model). labelled: text, label (1 toxic, 0 clean) of rows to learn from."""
-    counts = triple_counts(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: doc_id, text (all documents, for the language model). labels: doc_id, label (1 toxic, 0 clean) of rows to
+    learn from. Only hashes are dealt out to choose the sample; then its texts are fetched, ``sample`` at most."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = triple_counts(d.select("text"))
     channel = Channel(counts)
-    h = F.xxhash64("text", F.lit(5))
-    known = labelled.where("label in (0, 1) and text is not null").groupBy("text").agg(F.max("label").alias("label"))
-    rows = known.select("text", "label", h.alias("h")).orderBy("h", "text").limit(sample).collect()
-    data = [(words_of(channel.restore(r.text)), int(r.label)) for r in rows]
+    hashes = d.select("doc_id", F.xxhash64("text", F.lit(5)).alias("h"))
+    known = hashes.join(labels.where("label in (0, 1)").select("doc_id", "label"), "doc_id").groupBy("h").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
+    chosen = {r.doc_id: int(r.label) for r in known.orderBy("h").limit(sample).collect()}
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    texts = {r.doc_id: r.text for r in d.join(F.broadcast(ids), "doc_id").collect()}
+    data = [(channel.bag(texts.pop(i)), chosen[i]) for i in sorted(texts)]
     toxic = sum(y for _, y in data)
     if not toxic or toxic == len(data):
         return Model(counts, {}, (0.0,) * 4, any_toxic=False)
     a, b = (data[::2], data[1::2]) if toxic >= 100 else (data, data)
     lexicon = _lexicon(a)
     model = Model(counts, lexicon, (0.0,) * 4)
-    memory: dict[str, float] = {}
-    x, y = np.array([model.inputs(w, memory) for w, _ in b]), np.array([y for _, y in b], float)
+    seen: dict[str, tuple] = {}
+    x, y = np.array([model.inputs(bag, seen) for bag, _ in b]), np.array([y for _, y in b], float)
     return Model(counts, lexicon, tuple(float(v) for v in _logistic(x, y)))
 
 
@@ -231,17 +254,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        channel, memory = Channel(m.counts), {}
+        channel, seen = Channel(m.counts), {}
         for batch in batches:
-            out = [m.score(words_of(channel.restore(t)), memory) for t in batch["text"]]
+            out = [m.score(Counter(channel.joined(t).split()), seen, channel.words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out})
 
     out = d.mapInPandas(run, "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, label of the labelled documents that may be learnt from: crc32 of the id's text mod 4 isn't 2."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, label of the labelled documents that may be learnt from: crc32 of the id's text mod 4 isn't 2."""
     may = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    few = may.select("doc_id", F.col("toxic").alias("label"))
-    return docs.select("doc_id", "text").join(few, "doc_id").select("text", "label")
+    return may.select("doc_id", F.col("toxic").alias("label"))
