@@ -16,8 +16,8 @@ which Spark splits where a key is hot. Leaders and labels are found by partial a
 
 Result: one row for each row of docs: doc_id, class_id (smallest id of its class), n_texts (different texts in the class).
 Nulls: a null or empty text has no words and equals other such texts only if ``empty_equal``; otherwise each is a class of
-its own. Rows with a null id are not compared and have a null class. Rows that share an id are one document when its texts
-are equal; with different texts they share a class if any of them is near.
+its own. Rows with a null id are not compared and have a null class. Rows that share an id are one
+document: of different texts the one with the smallest fingerprint is compared, and copies of any of them share its class.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from terrace.llm.shared import cut
 
 K, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
-ROUNDS, PART = 3, 32
+ROUNDS, PART, FEW = 3, 32, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
@@ -167,27 +167,37 @@ def near(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> bool:
     return edit_distance(a.tolist(), b.tolist(), most) <= most
 
 
+def prints(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each text's words in order."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
+    with np.errstate(over="ignore"):
+        one = mixed(words + (np.arange(len(words)) - np.repeat(starts, counts)).astype(np.uint64) * MULTIPLY)
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (one, mixed(one + np.uint64(99)))]
+        a, b = (s[ends] - s[starts] for s in sums)
+    return a.view(np.int64), b.view(np.int64)
+
+
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fingerprint and words of each text, as 32-bit hashes."""
+    for batch in batches:
+        words, counts = word_hashes(batch["text"].tolist())
+        short, ends = (words & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum(counts)
+        yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
+
+
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fingerprint, words and sketches of each text."""
+    """Fingerprints, number of words and sketches of each text."""
     for batch in batches:
         for at in range(0, len(batch), 1000):
             part = batch.iloc[at : at + 1000]
             words, counts = word_hashes(part["text"].tolist())
-            short = (words & np.uint64(0xFFFFFFFF)).astype("<u4")
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            with np.errstate(over="ignore"):
-                order = np.arange(len(words), dtype=np.uint64)
-                one = mixed(words + (order - np.repeat(bounds[:-1].astype(np.uint64), counts)) * MULTIPLY)
-                two = mixed(one + np.uint64(99))
-                sums = [np.array([x[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64) for x in (one, two)]
+            one, two = prints(words, counts)
             some = counts > 0
             keys = np.zeros((len(counts), SKETCHES), np.uint64)
             if some.any():
                 keys[some] = sketches(words, counts[some])
-            yield pd.DataFrame({
-                "id": part["id"].values, "print_a": sums[0].view(np.int64), "print_b": sums[1].view(np.int64), "n": counts,
-                "words": [short[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], "keys": list(keys.view(np.int64)),
-            })
+            yield pd.DataFrame({"id": part["id"].values, "print_a": one, "print_b": two, "n": counts, "keys": list(keys.view(np.int64))})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,17 +206,21 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(ok=ok)
 
 
-def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Near pairs (a, b), a leading b. texts: id, words, n. buckets: key, id, n."""
+def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Near pairs (a, b), a leading b. docs: id, text. texts: id, print_a of the texts to compare. buckets: key, id, n."""
     found: DataFrame | None = None
+    words: DataFrame | None = None
     for _ in range(ROUNDS):
-        leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").select("key", "a")
-        met = cut(buckets.join(leaders, "key").where("id <> a").select("key", "id", "n", "a"))
-        pairs = met.select("a", F.col("id").alias("b"), F.col("n").alias("b_n")).distinct()
-        small = texts.select(F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("words").alias("a_words"))
-        pairs = pairs.join(small, "a").where(F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n") - 1e-9)
-        pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
-        ok = cut(pairs.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b"))
+        leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", F.col("l.id").alias("a"), F.col("l.n").alias("a_n"))
+        met = cut(buckets.join(leaders, "key").where("id <> a").select("key", "id", "n", "a", "a_n"))
+        alike = F.least("a_n", "n") >= SIMILAR * F.greatest("a_n", "n") - 1e-9
+        pairs = cut(met.where(alike).select("a", F.col("id").alias("b")).distinct())
+        if words is None:  # words only of texts that meet others
+            asked = met.select("id").union(met.select("a")).distinct()
+            words = cut(docs.join(asked, "id", "left_semi").mapInPandas(_words, "id long, print_a long, words binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words").dropDuplicates(["id"]))
+        near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
+        ok = cut(sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b"))
         found = ok if found is None else found.unionByName(ok)
         # those that their leader doesn't hold go on among themselves, where two or more are left
         rest = met.join(ok.withColumnRenamed("b", "id"), ["a", "id"], "left_anti").select("key", "id", "n")
@@ -215,7 +229,13 @@ def links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
         if rest.isEmpty():
             return found
         buckets = rest.select("key", "id", "n")
-    return found.unionByName(_rest_links(texts, rest))
+    return found.unionByName(_rest_links(_asked(words, rest.select("id").distinct()), rest))
+
+
+def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """Words of the asked ids; where these are few, by their count, they are broadcast, so that only their words move."""
+    few = ids.limit(FEW + 1).count() <= FEW
+    return words.join(F.broadcast(ids), "id", "left_semi") if few else words
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
@@ -270,16 +290,16 @@ def components(pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", empty_equal: bool = True) -> DataFrame:
     """doc_id, class_id, n_texts."""
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    hashed = d.where("id is not null").mapInPandas(_hashed, "id long, print_a long, print_b long, n long, words binary, keys array<long>")
+    hashed = d.where("id is not null").mapInPandas(_hashed, "id long, print_a long, print_b long, n long, keys array<long>")
     if not empty_equal:
         hashed = hashed.withColumn("print_b", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("print_b")))
     hashed = cut(hashed)
     firsts = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"))
-    member = cut(hashed.select("id", "print_a", "print_b", "n").join(firsts, ["print_a", "print_b", "n"]).select("id", "first", "n"))
-    texts = hashed.join(member.where("id = first").select("id", "n").distinct(), ["id", "n"]).where("n > 0").dropDuplicates(["id", "print_a", "print_b"]).select("id", "n", "words", "keys")
-    texts = cut(texts)
+    member = cut(hashed.select("id", "print_a", "print_b", "n").join(firsts, ["print_a", "print_b", "n"]).select("id", "first", "n", "print_a"))
+    one = member.where("id = first and n > 0").groupBy("id").agg(F.min(F.struct("print_a", "n")).alias("x")).select("id", "x.print_a", "x.n")
+    texts = cut(hashed.join(one, ["id", "print_a", "n"]).dropDuplicates(["id"]).select("id", "print_a", "n", "keys"))
     buckets = texts.select(F.explode("keys").alias("key"), "id", "n")
-    near_pairs = links(texts.select("id", "n", "words"), buckets)
+    near_pairs = links(d, texts.select("id", "print_a"), buckets)
     # rows that share an id but not a text are linked through the id
     labels = components(near_pairs.unionByName(member.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
     found = member.select("id", "first").distinct().join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("class_id"))
