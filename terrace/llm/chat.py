@@ -33,7 +33,7 @@ def _role(c: Column) -> Column:
 
 
 def _role_back(c: Column) -> Column:
-    parts = F.transform(F.split(unescaped(c), r"\\\\\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    parts = F.transform(F.split(unescaped(c), r"\\\\", -1), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return F.array_join(parts, "\\")
 
 
