@@ -2,10 +2,13 @@
 
 Vectors of different lengths get one more component, sqrt(L^2 - |x|^2) with L the greatest length, so that the largest
 inner product is the nearest direction; queries get 0 there. A vector is represented by its ``prefix`` nearest pivots in
-order. Blocks of ``block`` distinct vectors keep one inverted file for each pivot: (vector, place of the pivot). A query
-reads the files of its own nearest pivots and ranks vectors by the footrule distance of the prefixes, a pivot that is
-missing counting as place ``prefix``; the nearest ``share`` of each block, and ``least`` at least, are reranked by their
-exact inner product. Every vector is indexed.
+order. Vectors are dealt by hash to blocks of about ``block``, which keep one inverted file for each pivot: (vector, place
+of the pivot). A query reads the files of its own nearest pivots and ranks vectors by the footrule distance of the
+prefixes, a pivot that is missing counting as place ``prefix``; the nearest ``share`` of each block, and ``least`` at
+least, are reranked by their exact inner product. Every vector is indexed.
+
+Queries are dealt by hash to groups of about ``query_block``. A group meets all blocks in one task, one block at a time,
+and keeps k results a query, so that only those leave it.
 
 Pivots are a bounded sample, ``pivots`` distinct vectors with the smallest hashes. Equal vectors are indexed once with
 their k + 1 smallest ids, which is all that a result of k can hold, so copies can't crowd out others.
@@ -16,19 +19,20 @@ part. Shorter vectors are padded with zeros. Ties go to the smaller id. Fewer ca
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import finite_vector
-from terrace.llm.topk import as_double, best, packed_blocks, paired, smaller
+from terrace.llm.topk import as_double, best, smaller
 
-INDEX = "block long, n int, width int, longest double, ids binary, counts binary, vectors binary, starts binary, members binary, places binary"
+INDEX = "block long, n int, ids binary, counts binary, vectors binary, starts binary, members binary, places binary"
+QUERIES = "part long, q_ids binary, q_vectors binary"
 
 
 def valid(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -58,77 +62,88 @@ def lifted(m: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([m, more[:, None]]) / longest
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, prefix: int = 64, share: float = 0.15, least: int = 256, block: int = 4096, query_block: int = 256, groups: int = 12, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def matrix(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows, padded with zeros."""
+    m = np.zeros((len(vectors), width))
+    for i, x in enumerate(vectors):
+        m[i, : len(x)] = x
+    return m
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, prefix: int = 64, share: float = 0.15, least: int = 256, block: int = 4096, query_block: int = 512, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest found, never a row of its own id."""
-    v = valid(vectors, id_col, vector)
+    v, qv = valid(vectors, id_col, vector), valid(queries, id_col, vector).dropDuplicates(["id", "v"])
     d = distinct_vectors(v, k + 1)
-    bounds = v.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("l"), F.max(F.size("v")).alias("w")).first()
-    if bounds.l is None:
+    bounds = v.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("l"), F.max(F.size("v")).alias("w"), F.count("*").alias("n")).first()
+    asked = qv.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n")).first()
+    if bounds.l is None or not asked.n:
         return v.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    longest, width = float(np.sqrt(bounds.l)), int(bounds.w)
-    chosen = d.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "v").limit(pivots).collect()
-    p = np.zeros((len(chosen), width))
-    for i, row in enumerate(chosen):
-        p[i, : len(row.v)] = row.v
+    longest, width = float(np.sqrt(bounds.l)), max(bounds.w, asked.w)
+    blocks, parts = math.ceil(bounds.n / block), math.ceil(asked.n / query_block)
+    p = matrix([r.v for r in d.select("v").orderBy(F.xxhash64(F.lit(17), "v"), "v").limit(pivots).collect()], width)
     p = lifted(p, longest)
     prefix = min(prefix, len(p))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, number, held, ids = TaskContext.get().partitionId() << 32, 0, [], []
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = matrix(rows["v"], width)
+        flat = permutations(lifted(m, longest), p, prefix).ravel()
+        order = np.argsort(flat, kind="stable")
+        starts = np.searchsorted(flat[order], np.arange(len(p) + 1))
+        return pd.DataFrame([{"block": key[0], "n": len(m), "ids": np.concatenate(list(rows["ids"])).astype("<i8").tobytes(), "counts": rows["ids"].map(len).to_numpy("<i4").tobytes(), "vectors": m.tobytes(), "starts": starts.astype("<i4").tobytes(), "members": (order // prefix).astype("<u4" if len(m) > 65536 else "<u2").tobytes(), "places": (order % prefix).astype("<i2").tobytes()}])
+
+    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"part": key[0], "q_ids": rows["id"].to_numpy("<i8").tobytes(), "q_vectors": matrix(rows["v"], width).tobytes()}])
+
+    index = d.withColumn("block", F.pmod(F.xxhash64(F.lit(29), "v"), F.lit(blocks))).groupBy("block").applyInPandas(build, INDEX)
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long")).repartition(3 * parts, "part")
+    q = qv.withColumn("part", F.pmod(F.xxhash64(F.lit(31), "id", "v"), F.lit(parts)).cast("long")).groupBy("part").applyInPandas(gather, QUERIES).repartition(3 * parts, "part")
+    pairs = q.hint("shuffle_hash").join(index, "part").sortWithinPartitions("part")
+
+    def nearest(row, qm: np.ndarray, own: np.ndarray, perm: np.ndarray, state: list) -> None:
+        """Puts what a block has into the results of a group's queries."""
+        m = np.frombuffer(row.vectors).reshape(row.n, width)
+        counts = np.frombuffer(row.counts, "<i4")
+        ids, first = np.frombuffer(row.ids, "<i8"), np.concatenate([[0], np.cumsum(counts)])
+        starts = np.frombuffer(row.starts, "<i4")
+        members = np.frombuffer(row.members, "<u4" if row.n > 65536 else "<u2").astype(np.intp)
+        left = (prefix - np.frombuffer(row.places, "<i2")).astype(float)
+        keep = min(row.n, max(least, math.ceil(share * row.n)))
+        for j in range(len(own)):
+            at = np.arange(row.n)
+            if keep < row.n:
+                # Footrule of prefixes, from its greatest value down: a pivot at places r and s of both takes away
+                # (prefix - r) + (prefix - s) - |r - s|, which is twice the smaller of the two.
+                spans = [slice(starts[x], starts[x + 1]) for x in perm[j]]
+                mine = np.repeat(prefix - np.arange(prefix, dtype=float), [x.stop - x.start for x in spans])
+                near = np.bincount(np.concatenate([members[x] for x in spans]), np.minimum(mine, np.concatenate([left[x] for x in spans])), row.n)
+                at = np.argpartition(-near, keep - 1)[:keep]
+            n = counts[at]
+            i = ids[np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            s = np.repeat((m[at] * qm[j]).sum(1), n)
+            other = i != own[j]
+            i, s = np.concatenate([state[j][0], i[other]]), np.concatenate([state[j][1], s[other]])
+            top = smaller(s, i, k)
+            state[j] = i[top], s[top]
 
-        def one() -> dict:
-            m = np.zeros((len(held), width))
-            for i, x in enumerate(held):
-                m[i, : len(x)] = x
-            perm = permutations(lifted(m, longest), p, prefix)
-            flat = perm.ravel()
-            order = np.argsort(flat, kind="stable")
-            starts = np.searchsorted(flat[order], np.arange(len(p) + 1))
-            return {"block": base + number, "n": len(m), "width": width, "longest": 0.0, "ids": np.concatenate(ids).astype("<i8").tobytes(), "counts": np.array([len(x) for x in ids], "<i4").tobytes(), "vectors": m.tobytes(), "starts": starts.astype("<i4").tobytes(), "members": (order // prefix).astype("<i4").tobytes(), "places": (order % prefix).astype("<i2").tobytes()}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, own, state = None, np.array([], "<i8"), []
 
-        for batch in batches:
-            for x, i in zip(batch["v"], batch["ids"], strict=True):
-                held.append(x)
-                ids.append(i)
-                if len(held) == block:
-                    yield pd.DataFrame([one()])
-                    number += 1
-                    held.clear()
-                    ids.clear()
-        if held:
-            yield pd.DataFrame([one()])
-
-    q = packed_blocks(valid(queries, id_col, vector), query_block, query_block, by_length=False)
-    pairs = paired(q, d.mapInPandas(build, INDEX), groups)
+        def done() -> pd.DataFrame:
+            n = [len(i) for i, _ in state]
+            return pd.DataFrame({"query_id": np.repeat(own, n), "vec_id": np.concatenate([i for i, _ in state]), "score": np.concatenate([s for _, s in state])})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                own, qm = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.q_vectors).reshape(row.q_n, row.q_width)
-                qm = np.pad(qm, ((0, 0), (0, width - row.q_width)))
-                m = np.frombuffer(row.vectors).reshape(row.n, row.width)
-                counts = np.frombuffer(row.counts, "<i4")
-                ids, first = np.frombuffer(row.ids, "<i8"), np.concatenate([[0], np.cumsum(counts)])
-                starts, members, places = (np.frombuffer(getattr(row, c), t) for c, t in (("starts", "<i4"), ("members", "<i4"), ("places", "<i2")))
-                lengths = np.sqrt((qm * qm).sum(1))
-                perm = permutations(np.hstack([qm / lengths[:, None], np.zeros((len(qm), 1))]), p, prefix)
-                keep = min(row.n, max(least, int(np.ceil(share * row.n))))
-                out = []
-                for j in range(len(own)):
-                    near = np.zeros(row.n)  # how much nearer than without any common pivot
-                    for r, pivot in enumerate(perm[j]):
-                        a, b = starts[pivot], starts[pivot + 1]
-                        # both prefixes have the pivot: |r - s| instead of (prefix - r) + (prefix - s)
-                        near[members[a:b]] += 2 * prefix - r - places[a:b] - np.abs(r - places[a:b])
-                    at = np.argpartition(-near, keep - 1)[:keep] if keep < row.n else np.arange(row.n)
-                    scores = (m[at] * qm[j]).sum(1)
-                    n = counts[at]
-                    i = ids[np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    s = np.repeat(scores, n)
-                    other = i != own[j]
-                    i, s = i[other], s[other]
-                    top = smaller(s, i, k)
-                    out.append((np.full(len(top), own[j]), i[top], s[top]))
-                yield pd.DataFrame({c: np.concatenate([o[x] for o in out]) for x, c in enumerate(("query_id", "vec_id", "score"))})
+                if row.part != part:
+                    if state:
+                        yield done()
+                    part, own = row.part, np.frombuffer(row.q_ids, "<i8")
+                    qm = np.frombuffer(row.q_vectors).reshape(len(own), width)
+                    state = [(np.array([], "<i8"), np.array([]))] * len(own)
+                    units = qm / np.sqrt((qm * qm).sum(1))[:, None]
+                    perm = permutations(np.hstack([units, np.zeros((len(own), 1))]), p, prefix)
+                nearest(row, qm, own, perm, state)
+        if state:
+            yield done()
 
     return best(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), k)

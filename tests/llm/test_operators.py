@@ -151,7 +151,7 @@ def test_permutation_index(spark):
     data = {r.id: np.pad(r.v, (0, 8 - len(r.v))) for r in permutation.valid(e, "vec_id", "embedding").collect()}
     assert 304 not in data
     got = {}
-    for r in permutation.search(e, e.where("vec_id % 5 = 0"), 20, groups=3).orderBy("query_id", "rank").collect():
+    for r in permutation.search(e, e.where("vec_id % 5 = 0"), 20, block=40, query_block=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     hit = total = 0
     for q in (i for i in data if i % 5 == 0):
