@@ -9,8 +9,8 @@ neighbours: a piece sequence is the BPE encoding exactly if each two neighbours
 concatenation. Such transitions weigh 0, others infinity, so the one path of finite weight is the encoding that the
 library gives. Each prefix has one such path, so one state for each place is enough.
 
-No piece has the escape mark behind another character, so texts are cut before marks that follow others, and words,
-which repeat, are kept in a bounded memory.
+No piece has the escape mark behind another character, so texts are cut before marks that follow others, and around ASCII
+characters that are in no longer piece; words, which repeat, are kept in a bounded memory.
 
 Nulls: a null text encodes as empty, to no ids. Any text is encoded; NUL and other characters go by byte pieces where the
 alphabet lacks them. Rows with null or repeated ids are texts of their own.
@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -68,7 +67,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Transducer:
     """The compiled model. encode and decode work on one text."""
 
-    KEPT = 600_000
+    KEPT = 1_000_000
     _compiled: ClassVar[dict[str, Transducer]] = {}
 
     def __init__(self, model: bytes):
@@ -92,7 +91,8 @@ class Transducer:
         self.ids = {p[0]: i for i, p in enumerate(self.pieces) if p[2] in (NORMAL, USER)}
         self.score = [p[1] for p in self.pieces]
         self.pair: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.packed = {p: struct.pack("<I", i) for p, i in self.ids.items()}
+        self.known: dict[str, bytes] = {}
         # what stands for the trie: lengths of pieces by first character, and for BPE the pieces that merges can make
         self.lengths: dict[str, list[int]] = {}
         for p in self.ids:
@@ -101,8 +101,15 @@ class Transducer:
                 self.lengths[p[0]].append(len(p))
         self.lengths = {c: sorted(ls) for c, ls in self.lengths.items()}
         self.whole = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.longest = max(map(len, self.ids))
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
+        self.chunk = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.good = {p for p in self.ids if self.kind != BPE or self._merged(p) == [p]}
+        ends: dict[str, set[int]] = {}
+        for p in self.good:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {c: tuple(sorted(ls, reverse=True)) for c, ls in ends.items()}
 
     @classmethod
     def of(cls, path: str) -> Transducer:
@@ -145,13 +152,23 @@ class Transducer:
         n, ids, lengths = len(chunk), self.ids, self.lengths
         if self.kind == BPE:
             last = [""] * (n + 1)
-            good, compatible, longest = self.good, self._compatible, self.longest
-            for j in range(1, n + 1):
-                for k in range(min(j, longest), 0, -1):
+            good, compatible, ends, pair = self.good, self._compatible, self.ends, self.pair
+            if n:
+                last[1] = chunk[0]
+            for j in range(2, n + 1):
+                for k in ends.get(chunk[j - 2 : j], ()):
+                    if k > j:
+                        continue
                     p = chunk[j - k : j]
-                    if p in good and (j == k or compatible(last[j - k], p)):
-                        last[j] = p
-                        break
+                    if p in good:
+                        if j == k:
+                            last[j] = p
+                            break
+                        a = last[j - k]
+                        ok = pair.get((a, p))
+                        if compatible(a, p) if ok is None else ok:
+                            last[j] = p
+                            break
                 else:
                     last[j] = chunk[j - 1]
             out, j = [], n
@@ -174,32 +191,29 @@ class Transducer:
             j -= len(cost[j][1])
         return out[::-1]
 
-    def _arcs(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in self.path(chunk):
-            if p in self.ids:
-                out.append(self.ids[p])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+    def _outside(self, c: str) -> bytes:
+        """Ids of a character that no piece has."""
+        ids = [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        out = self.packed[c] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        s = self.normalised(text)
-        out: list[int] = []
-        known = self.known
-        for c in CHUNK.findall(s) if self.whole else [s] if s else []:
-            ids = known.get(c)
-            if ids is None:
-                ids = self._arcs(c)
-                if len(c) < 40:
-                    if len(known) >= self.KEPT:
-                        known.clear()
-                    known[c] = ids
-            out += ids
+    def _arcs(self, chunk: str) -> bytes:
+        packed = self.packed
+        out = b"".join([packed.get(p) or self._outside(p) for p in self.path(chunk)])
+        if len(chunk) < 40:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[chunk] = out
         return out
 
+    def encoded(self, text: str) -> bytes:
+        """The ids, little-endian unsigned 32-bit."""
+        s, known, arcs = self.normalised(text), self.known, self._arcs
+        return b"".join([known.get(c) or arcs(c) for c in (self.chunk.findall(s) if self.whole else [s] if s else [])])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), "<u4").tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The normalised text without its dummy prefix; runs of byte pieces are UTF-8."""
         out, run = [], bytearray()
@@ -229,9 +243,8 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
         for batch in batches:
             rows = []
             for text_ in batch["text"]:
-                ids = t.encode(text_)
-                back = t.decode(ids)
-                a = np.array(ids, "<u4")
+                a = np.frombuffer(t.encoded(text_), "<u4")
+                back = t.decode(a.tolist())
                 wanted = t.normalised(text_).replace(MARK, " ")
                 rows.append((a.tobytes(), len(a), int(is_byte[a].sum()), hashlib.sha256(back.encode()).hexdigest(), back == (wanted[1:] if t.prefix else wanted)))
             out = pd.DataFrame(rows, columns=["ids", "n_ids", "n_bytes", "decoded_sha256", "exact"])
