@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from terrace.llm.shared import cut
 
 K, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
-ROUNDS, PART, FEW = 3, 32, 100_000
+ROUNDS, PART, BINS, FEW = 3, 128, 1024, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
@@ -217,7 +217,7 @@ def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
         pairs = cut(met.where(alike).select("a", F.col("id").alias("b")).distinct())
         if words is None:  # words only of texts that meet others
             asked = met.select("id").union(met.select("a")).distinct()
-            words = cut(docs.join(asked, "id", "left_semi").mapInPandas(_words, "id long, print_a long, words binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words").dropDuplicates(["id"]))
+            words = cut(_asked(docs, asked).mapInPandas(_words, "id long, print_a long, words binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words").dropDuplicates(["id"]))
         near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
         ok = cut(sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b"))
@@ -235,37 +235,58 @@ def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
 def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
     """Words of the asked ids; where these are few, by their count, they are broadcast, so that only their words move."""
     few = ids.limit(FEW + 1).count() <= FEW
-    return words.join(F.broadcast(ids), "id", "left_semi") if few else words
+    return words.join(F.broadcast(ids), "id", "left_semi") if few else words.join(ids, "id", "left_semi")
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
     """Buckets of many different texts, such as those of one shared passage: members are dealt into parts of about ``PART``,
-    and each pair of parts is one row, which gives its near pairs. Exact for what the leader rounds have left."""
+    and each pair of parts is one row. Two texts are compared under the smallest of the keys that they share, and where
+    the row's links don't join them already, so the links give the classes of all near pairs that the leader rounds have
+    left."""
     dealt = rest.select("key", "id", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("size") / PART)).alias("part"))
-    full = dealt.join(texts.select("id", F.struct("id", "words").alias("text")), "id")
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    full = dealt.join(texts.join(keys, "id").select("id", F.struct("id", "keys", "words").alias("text")), "id")
     parts = cut(full.groupBy("key", "part").agg(F.collect_list("text").alias("texts")))
     other = parts.select("key", F.col("part").alias("other"), F.col("texts").alias("others"))
-    pairs = parts.join(other, "key").where("part <= other").repartition("key", "part", "other").select("texts", "others", (F.col("part") == F.col("other")).alias("same"))
+    pairs = parts.join(other, "key").where("part <= other").repartition("key", "part", "other").select("key", "texts", "others", (F.col("part") == F.col("other")).alias("same"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = set()
             for row in batch.itertuples():
-                lists = [[(x["id"], np.frombuffer(x["words"], "<u4").tolist()) for x in side] for side in (row.texts, row.others)]
-                bags = [[Counter(w) for _, w in side] for side in lists]
-                for i, (a, x) in enumerate(lists[0]):
-                    for j, (b, y) in enumerate(lists[1]):
-                        longest = max(len(x), len(y))
-                        most = math.floor((1 - SIMILAR) * longest + 1e-9)
-                        if row.same and j <= i or abs(len(x) - len(y)) > most or (bags[0][i] & bags[1][j]).total() < longest - most:
-                            continue
-                        if edit_distance(x, y, most) <= most:
-                            out.add((min(a, b), max(a, b)))
+                out |= _part_links(row.key, row.texts, row.texts if row.same else row.others, row.same)
             yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return cut(pairs.mapInPandas(check, "a long, b long"))
 
 
+def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) -> set[tuple[int, int]]:
+    """Near pairs between two parts of a bucket that join its texts as all its near pairs do. Words are counted in ``BINS``
+    bins; what two texts share there is at least what they share in words, which bounds their edit distance from below."""
+    sides = [[np.frombuffer(x["words"], "<u4") for x in side] for side in (texts, others)]
+    bins = [np.array([np.bincount(w % BINS, minlength=BINS) for w in side], np.int32) for side in sides]
+    sizes = np.array([len(w) for w in sides[1]])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = set()
+    for i, x in enumerate(texts):
+        longest = np.maximum(sizes, len(sides[0][i]))
+        most = np.floor((1 - SIMILAR) * longest + 1e-9)
+        may = np.minimum(bins[0][i], bins[1]).sum(1) >= longest - most
+        for j in np.flatnonzero(may & (np.arange(len(sizes)) > i) if same else may):
+            y = others[j]
+            a, b = top(x["id"]), top(y["id"])
+            if a != b and min(set(x["keys"]) & set(y["keys"])) == key and near(sides[0][i], sides[1][j]):
+                root[max(a, b)] = min(a, b)
+                out.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
+    return out
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each linked id's component. Large-star and small-star rounds; each keeps the number
     of edges, and their number of rounds grows with the logarithm of the component's size."""

@@ -112,6 +112,31 @@ def test_near_dup(spark):
     assert near_dup.classes(docs(spark, [])).count() == 0
 
 
+def test_part_links_join_what_brute_force_joins():
+    rng = random.Random(8)
+    base = [[rng.randrange(10_000) for _ in range(60)] for _ in range(6)]
+    texts = []
+    for i in range(90):
+        w = list(base[i % 6])
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(60)] = rng.randrange(10_000)
+        texts.append({"id": i, "keys": [5, 9] if i % 4 else [2, 5], "words": np.array(w, "<u4").tobytes()})
+
+    def groups(pairs):
+        root = list(range(90))
+        for a, b in pairs:
+            root = [root[a] if r == root[b] else r for r in root]
+        return {frozenset(i for i in range(90) if root[i] == r) for r in root}
+
+    def brute(key, left, right):
+        return [(x["id"], y["id"]) for x in left for y in right if x["id"] < y["id"] and min(set(x["keys"]) & set(y["keys"]), default=None) == key and near_dup.near(*(np.frombuffer(t["words"], "<u4") for t in (x, y)))]
+
+    for key, left, right, same in [(5, texts, texts, True), (5, texts[:40], texts[40:], False)]:
+        got = near_dup._part_links(key, left, right, same)
+        want = brute(key, left, right)
+        assert got <= set(want) and len(got) < len(want) and groups(got) == groups(want)
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
     for _ in range(500):
