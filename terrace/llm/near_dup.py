@@ -290,7 +290,11 @@ def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) ->
 def components(pairs: DataFrame) -> DataFrame:
     """(id, label): the smallest id of each linked id's component. Large-star and small-star rounds; each keeps the number
     of edges, and their number of rounds grows with the logarithm of the component's size."""
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    was = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -300,11 +304,9 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("w"), F.col("u").alias("x"), "m")
         new = small.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(new)
-        stars = new.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        was = edges.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        edges = new
-        if (stars.n, stars.h) == (was.n, was.h):
+        edges, before = cut(new), was
+        was = state(edges)
+        if was == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 

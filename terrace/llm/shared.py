@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in files that outlive executors."""
+    """df with its lineage cut, in files that outlive executors. Shuffle files that only the cut lineage needed stay on the
+    executors' disks until the driver collects its garbage, so it is asked to."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def finite_vector(c: Column) -> Column:
