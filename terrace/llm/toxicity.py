@@ -42,6 +42,8 @@ ANY = re.compile(r"[^\W\d_]+")
 SIZE = 64  # character classes of the language model
 SAMPLE = 4000
 BEGINNINGS = (4, 5, 6)
+#: What is known of tokens without hits, one object for all that have as many words.
+NO_HITS = [(n, 0, 0.0) for n in range(8)]
 
 
 def _codes() -> np.ndarray:
@@ -94,7 +96,7 @@ class Channel:
         smooth = counts + 0.05
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).astype(np.float32)
         self.known: dict[str, str] = {}
-        self.tokens: dict[str, tuple[str, ...]] = {}
+        self.tokens: dict[str, list[str]] = {}
 
     def word(self, raw: str) -> str:
         out = self.known.get(raw)
@@ -140,12 +142,16 @@ class Channel:
         """The text, lower-cased, with letters that are set apart put together."""
         return SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_]", "", m[0])), text.lower())
 
-    def words(self, token: str) -> tuple[str, ...]:
-        """Restored words of what stands between white space, kept for the next time."""
+    def fresh(self, token: str) -> list[str]:
+        """Restored words of what stands between white space."""
+        return ANY.findall(self.restore(token))
+
+    def words(self, token: str) -> list[str]:
+        """The same, kept for the next time."""
         out = self.tokens.get(token)
         if out is None:
-            out = tuple(ANY.findall(self.restore(token)))
-            if len(self.tokens) < 2 * self.KEPT:
+            out = self.fresh(token)
+            if len(self.tokens) < self.KEPT:
                 self.tokens[token] = out
         return out
 
@@ -179,7 +185,9 @@ class Model:
             if known is None:
                 values = [max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0) for w in words(token)]
                 known = (len(values), sum(v > 0 for v in values), max(values, default=0.0))
-                if len(seen) < 400_000:
+                if not known[1] and len(values) < len(NO_HITS):
+                    known = NO_HITS[len(values)]
+                if len(seen) < Channel.KEPT:
                     seen[token] = known
             total += n * known[0]
             if known[1]:
@@ -256,7 +264,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         m = shared.value
         channel, seen = Channel(m.counts), {}
         for batch in batches:
-            out = [m.score(Counter(channel.joined(t).split()), seen, channel.words) for t in batch["text"]]
+            out = [m.score(Counter(channel.joined(t).split()), seen, channel.fresh) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out})
 
     out = d.mapInPandas(run, "doc_id long, score double")
