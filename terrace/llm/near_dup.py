@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from terrace.llm.shared import cut
 
 K, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
-ROUNDS, PART, BINS, FEW = 3, 128, 1024, 100_000
+ROUNDS, PART, BINS, CHARS, FEW = 3, 128, 1024, 500_000, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
@@ -178,9 +178,16 @@ def prints(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return a.view(np.int64), b.view(np.int64)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut into runs of rows of about ``CHARS`` characters, or one longer text, which bounds the arrays over them."""
+    for batch in batches:
+        for _, part in batch.groupby((batch["text"].str.len().cumsum() // CHARS).values, sort=False):
+            yield part
+
+
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fingerprint and words of each text, as 32-bit hashes."""
-    for batch in batches:
+    for batch in _slices(batches):
         words, counts = word_hashes(batch["text"].tolist())
         short, ends = (words & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum(counts)
         yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
@@ -188,16 +195,14 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fingerprints, number of words and sketches of each text."""
-    for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at : at + 1000]
-            words, counts = word_hashes(part["text"].tolist())
-            one, two = prints(words, counts)
-            some = counts > 0
-            keys = np.zeros((len(counts), SKETCHES), np.uint64)
-            if some.any():
-                keys[some] = sketches(words, counts[some])
-            yield pd.DataFrame({"id": part["id"].values, "print_a": one, "print_b": two, "n": counts, "keys": list(keys.view(np.int64))})
+    for part in _slices(batches):
+        words, counts = word_hashes(part["text"].tolist())
+        one, two = prints(words, counts)
+        some = counts > 0
+        keys = np.zeros((len(counts), SKETCHES), np.uint64)
+        if some.any():
+            keys[some] = sketches(words, counts[some])
+        yield pd.DataFrame({"id": part["id"].values, "print_a": one, "print_b": two, "n": counts, "keys": list(keys.view(np.int64))})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
