@@ -5,8 +5,9 @@
    takes the ``order`` smallest labelled k-mers and keeps them in text order, so equal sketches speak for equal content in
    equal order. Texts of fewer than five words have one k-mer, all their words.
 3. Texts that share a sketch meet in its bucket. The smallest id of a bucket leads it, and the others are checked against
-   it; those that fail meet again in the next round under a new leader. What is left after ``ROUNDS`` rounds, in buckets
-   of many different texts, is compared in parts of about ``PART`` texts, a row for each two parts, without any cap.
+   it; those that fail meet again in the next round under a new leader. After ``ROUNDS`` rounds the members of each bucket
+   that aren't all joined, held by a leader or not, are compared in parts of about ``PART`` texts, a row for each two
+   parts, without any cap; only pairs that are joined already are left out.
 4. A pair is near when its edit similarity over words, 1 - distance / longer length, is at least 0.8, found by bit-parallel
    alignment inside the band that this similarity allows.
 5. Classes are the connected components of near pairs, by rounds of smallest-label propagation with checkpoints.
@@ -212,7 +213,8 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Near pairs (a, b), a leading b. docs: id, text. texts: id, print_a of the texts to compare. buckets: key, id, n."""
+    """Links (a, b) whose components are those of all near pairs that share a bucket. docs: id, text. texts: id, print_a of
+    the texts to compare. buckets: key, id, n."""
     found: DataFrame | None = None
     words: DataFrame | None = None
     for _ in range(ROUNDS):
@@ -220,21 +222,29 @@ def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
         met = cut(buckets.join(leaders, "key").where("id <> a").select("key", "id", "n", "a", "a_n"))
         alike = F.least("a_n", "n") >= SIMILAR * F.greatest("a_n", "n") - 1e-9
         pairs = cut(met.where(alike).select("a", F.col("id").alias("b")).distinct())
-        if words is None:  # words only of texts that meet others
+        if words is None:  # words only of texts that meet others; all of a bucket are checked against its first leader
+            members = met.select("key", "id")
             asked = met.select("id").union(met.select("a")).distinct()
             words = cut(_asked(docs, asked).mapInPandas(_words, "id long, print_a long, words binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words").dropDuplicates(["id"]))
         near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
         ok = cut(sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b"))
-        found = ok if found is None else found.unionByName(ok)
+        held = met.join(ok.withColumnRenamed("b", "id"), ["a", "id"], "left_semi").select("key").distinct()
+        found, open_ = (ok, held) if found is None else (found.unionByName(ok), open_.unionByName(held))
         # those that their leader doesn't hold go on among themselves, where two or more are left
         rest = met.join(ok.withColumnRenamed("b", "id"), ["a", "id"], "left_anti").select("key", "id", "n")
-        again = rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", "size")
-        rest = cut(rest.join(again, "key").select("key", "id", "n", "size"))
-        if rest.isEmpty():
-            return found
-        buckets = rest.select("key", "id", "n")
-    return found.unionByName(_rest_links(_asked(words, rest.select("id").distinct()), rest))
+        again = rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+        buckets = cut(rest.join(again, "key").select("key", "id", "n"))
+        if buckets.isEmpty():
+            break
+    # members that a leader holds and those that it doesn't hold meet too, unless they are joined already
+    joined = cut(components(found))
+    open_ = open_.unionByName(buckets.select("key")).distinct()
+    left = members.join(open_, "key", "left_semi").join(joined, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    left = cut(left.join(several, "key", "left_semi"))
+    out = joined.select(F.col("label").alias("a"), F.col("id").alias("b"))
+    return out if left.isEmpty() else out.unionByName(_rest_links(_asked(words, left.select("id").distinct()), left))
 
 
 def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
@@ -244,16 +254,21 @@ def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
-    """Buckets of many different texts, such as those of one shared passage: members are dealt into parts of about ``PART``,
-    and each pair of parts is one row. Two texts are compared under the smallest of the keys that they share, and where
-    the row's links don't join them already, so the links give the classes of all near pairs that the leader rounds have
-    left."""
-    dealt = rest.select("key", "id", F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("size") / PART)).alias("part"))
+    """Buckets (key, id, label) whose members aren't all joined: members are dealt into parts of about ``PART``, those of a
+    label with as many into parts of their own, and each pair of parts is one row, but for two parts of one label. Two texts
+    are compared under the smallest of the keys that they share, and where their labels or the row's links don't join them
+    already, so the links and labels give the classes of all near pairs of the buckets."""
+    own = rest.groupBy("key", "label").agg(F.count("*").alias("own"))
+    pool = own.where(F.col("own") < PART).groupBy("key").agg(F.sum("own").alias("pool"))
+    large = F.col("own") >= PART
+    number = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.when(large, F.col("own")).otherwise(F.col("pool")) / PART))
+    part = F.struct(large.alias("large"), F.when(large, F.col("label")).otherwise(F.lit(0)).alias("of"), number.alias("number"))
+    dealt = rest.join(own, ["key", "label"]).join(pool, "key", "left").select("key", "id", "label", part.alias("part"))
     keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    full = dealt.join(texts.join(keys, "id").select("id", F.struct("id", "keys", "words").alias("text")), "id")
+    full = dealt.join(texts.join(keys, "id"), "id").select("key", "part", F.struct("id", "label", "keys", "words").alias("text"))
     parts = cut(full.groupBy("key", "part").agg(F.collect_list("text").alias("texts")))
     other = parts.select("key", F.col("part").alias("other"), F.col("texts").alias("others"))
-    pairs = parts.join(other, "key").where("part <= other").repartition("key", "part", "other").select("key", "texts", "others", (F.col("part") == F.col("other")).alias("same"))
+    pairs = parts.join(other, "key").where("part <= other and not (part.large and other.large and part.of = other.of)").repartition("key", "part", "other").select("key", "texts", "others", (F.col("part") == F.col("other")).alias("same"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -266,12 +281,13 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) -> set[tuple[int, int]]:
-    """Near pairs between two parts of a bucket that join its texts as all its near pairs do. Words are counted in ``BINS``
+    """Near pairs between two parts of a bucket that join its texts, with their labels, as all its near pairs do. Words are counted in ``BINS``
     bins; what two texts share there is at least what they share in words, which bounds their edit distance from below."""
     sides = [[np.frombuffer(x["words"], "<u4") for x in side] for side in (texts, others)]
     bins = [np.array([np.bincount(w % BINS, minlength=BINS) for w in side], np.int32) for side in sides]
     sizes = np.array([len(w) for w in sides[1]])
-    root: dict[int, int] = {}
+    keys = [[set(x["keys"]) for x in side] for side in (texts, others)]
+    root: dict[int, int] = {x["id"]: x["label"] for side in (texts, others) for x in side if "label" in x}
 
     def top(x: int) -> int:
         while root.get(x, x) != x:
@@ -286,7 +302,7 @@ def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) ->
         for j in np.flatnonzero(may & (np.arange(len(sizes)) > i) if same else may):
             y = others[j]
             a, b = top(x["id"]), top(y["id"])
-            if a != b and min(set(x["keys"]) & set(y["keys"])) == key and near(sides[0][i], sides[1][j]):
+            if a != b and min(keys[0][i] & keys[1][j]) == key and near(sides[0][i], sides[1][j]):
                 root[max(a, b)] = min(a, b)
                 out.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
     return out

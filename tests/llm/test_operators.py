@@ -137,6 +137,39 @@ def test_part_links_join_what_brute_force_joins():
         assert got <= set(want) and len(got) < len(want) and groups(got) == groups(want)
 
 
+def brute_classes(rows):
+    """Smallest id of each component of near pairs, all pairs compared."""
+    words = {i: np.array([zlib.crc32(w.encode()) for w in t.lower().split()], np.int64) for i, t in rows}
+    label = {i: i for i in words}
+    for a in words:
+        for b in words:
+            if a < b and label[a] != label[b] and near_dup.near(words[a], words[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+def test_near_dup_joins_held_and_not_held(spark):
+    """Star whose centre has the largest id: copies are near the centre but hardly one another."""
+    rng = random.Random(12)
+    rows = []
+    for star in range(6):
+        centre = [f"s{star}w{i}" for i in range(100)]
+        for copy in range(20):
+            w = list(centre)
+            for i in rng.sample(range(100), 12):
+                w[i] = f"e{star}x{copy}x{i}"
+            rows.append((100 * star + copy, " ".join(w)))
+        rows.append((100 * star + 99, " ".join(centre)))
+    # every star's texts in one bucket: what shares it must be joined as by comparing all pairs
+    d = spark.createDataFrame(rows, "id long, text string")
+    hashed = d.mapInPandas(near_dup._hashed, "id long, print_a long, print_b long, n long, keys array<long>")
+    buckets = hashed.select(F.floor(F.col("id") / 100).alias("key"), "id", "n")
+    pairs = near_dup.links(d, hashed.select("id", "print_a"), buckets)
+    got = {i: i for i, _ in rows} | {r.id: r.label for r in near_dup.components(pairs).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
     for _ in range(500):
