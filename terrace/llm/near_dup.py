@@ -1,9 +1,12 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 1. Texts with equal normalised words (lower-cased, split at white space) are one text; its smallest id stands for it.
-2. A text's k-mers are its runs of five words, each labelled with its occurrence. Each of ``sketches`` hash functions
-   takes the ``order`` smallest labelled k-mers and keeps them in text order, so equal sketches speak for equal content in
-   equal order. Texts of fewer than five words have one k-mer, all their words.
+2. A text's k-mers are its runs of two words, each labelled with its occurrence. Each of ``SKETCHES`` hash functions
+   takes the ``ORDER`` smallest labelled k-mers and keeps them in text order, so equal sketches speak for equal content in
+   equal order. At similarity 0.8 two long texts share 3 in 7 of their k-mers at least (every fifth word changed), and a
+   sketch with a chance of 0.08. Texts of at most ``SHORT`` words have ``SHORT_SKETCHES`` of order 1, since few k-mers
+   remain; texts of 0.8 ``SHORT`` words or more have those of long texts, so that near texts always have sketches of one
+   kind.
 3. Texts that share a sketch meet in its bucket. The smallest id of a bucket leads it, and the others are checked against
    it; those that fail meet again in the next round under a new leader. After ``ROUNDS`` rounds the members of each bucket
    that aren't all joined, held by a leader or not, are compared in parts of about ``PART`` texts, a row for each two
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 
 from terrace.llm.shared import cut
 
-K, SIMILAR, SKETCHES, ORDER = 5, 0.8, 24, 2
+K, SIMILAR, SKETCHES, ORDER = 2, 0.8, 64, 3
+SHORT, SHORT_SKETCHES = 40, 24
 ROUNDS, PART, BINS, CHARS, FEW = 3, 128, 1024, 500_000, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
@@ -200,10 +204,12 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, counts = word_hashes(part["text"].tolist())
         one, two = prints(words, counts)
         some = counts > 0
-        keys = np.zeros((len(counts), SKETCHES), np.uint64)
-        if some.any():
-            keys[some] = sketches(words, counts[some])
-        yield pd.DataFrame({"id": part["id"].values, "print_a": one, "print_b": two, "n": counts, "keys": list(keys.view(np.int64))})
+        keys = [np.zeros(0, np.int64)] * len(counts)
+        for kind, how in ((some & (counts >= SIMILAR * SHORT), (SKETCHES, ORDER)), (some & (counts <= SHORT), (SHORT_SKETCHES, 1))):
+            if kind.any():
+                for i, row in zip(np.flatnonzero(kind), sketches(words[np.repeat(kind, counts)], counts[kind], *how).view(np.int64), strict=True):
+                    keys[i] = np.concatenate([keys[i], row])
+        yield pd.DataFrame({"id": part["id"].values, "print_a": one, "print_b": two, "n": counts, "keys": keys})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

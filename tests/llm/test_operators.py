@@ -170,6 +170,25 @@ def test_near_dup_joins_held_and_not_held(spark):
     assert got == brute_classes(rows)
 
 
+def test_sketches_meet_at_the_threshold():
+    """Pairs at similarity 0.8 to 0.9: evenly spread and random changes, texts of 5 words and more."""
+    import pandas as pd
+
+    rng = random.Random(4)
+    texts = []
+    for trial in range(300):
+        n = [5, 7, 9, 10, 12, 20, 33, 40, 41, 50, 100, 400][trial % 12]
+        a = [f"t{trial}w{i}" for i in range(n)]
+        at = range(2, n, 5) if trial % 2 else rng.sample(range(n), n // 5)
+        b = [f"t{trial}e{i}" if i in set(at) else w for i, w in enumerate(a)]
+        assert near_dup.near(*(np.array([zlib.crc32(w.encode()) for w in x], np.int64) for x in (a, b)))
+        texts += [" ".join(a), " ".join(b)]
+    keys = list(pd.concat(near_dup._hashed(iter([pd.DataFrame({"id": range(len(texts)), "text": texts})])))["keys"])
+    met = [bool(set(keys[i]) & set(keys[i + 1])) for i in range(0, len(texts), 2)]
+    print("met", sum(met), "of", len(met))
+    assert sum(met) >= 0.98 * len(met) and not set(keys[0]) & set(keys[2])
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(3)
     for _ in range(500):
