@@ -3,8 +3,9 @@
 Only DataFrame and SQL functions run on the rows: candidates are found, described, voted on and redacted inside one
 projection, without a shuffle. A candidate is a run of at least ``MIN`` characters of key alphabets with a digit inside a
 word. Features: length, shares of digits, capitals and signs, character transitions, distinct characters, hexadecimal
-or not, share of characters covered by dictionary words, kind of path, and words that speak for or against a secret in and
-before the candidate's word.
+or not, share of characters covered by dictionary words, kind of path, and words that speak for or against a secret in the
+``BEFORE`` characters before the candidate (of its word and the three before that), in it, and in the ``AFTER`` ones after
+it in its word.
 
 The forest is Spark's own, trained from labelled findings (by default ``findings``: a fixed number of generated ones of
 known kinds, since the tables label none) and compiled to one expression: the share of trees that vote for a secret.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN = 16
+# Characters read before a candidate, and after it in its word; multiples of MIN, which bounds the matches that they touch.
+BEFORE, AFTER = 64, 32
 SHAPE = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 FEATURES = ["size", "digits", "capitals", "signs", "transitions", "distinct", "hex", "digits_only", "dictionary", "test_path", "speaks_for", "speaks_against"]
 # Fragments of ordinary words, and words around findings.
@@ -31,7 +34,7 @@ AGAINST = "commit|sha1|sha256|sha-|md5|digest|checksum|hash|uuid|guid|etag|revis
 
 
 def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
-    """value: the candidate; before: its word and the words before it; path: where its text is from."""
+    """value: the candidate; before: the text around it, with itself; path: where its text is from."""
     size = F.greatest(F.char_length(value), F.lit(1)).cast("double")
     share = lambda p: F.regexp_count(value, F.lit(p)) / size
     near = F.lower(before)
@@ -134,9 +137,18 @@ def scan(docs: DataFrame, forest: list[tuple] | None = None, doc_id: str = "doc_
 
     def cores(i: Column) -> Column:
         word = F.get("words", i)
-        before = F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1), F.substring(word, 1, 400))
-        values = F.filter(F.regexp_extract_all(word, F.lit(f"({SHAPE})"), F.lit(1)), lambda v: v.rlike("[0-9]"))
-        return F.transform(values, lambda v: F.struct(v.alias("value"), before.alias("before")))
+        # matches and the text between them, found once for each word
+        parts = F.array(F.struct(F.regexp_extract_all(word, F.lit(f"({SHAPE})"), F.lit(1)).alias("found"), F.split(word, SHAPE, -1).alias("gaps")))
+
+        def around(p: Column, v: Column, k: Column) -> Column:
+            found, gaps = p["found"], p["gaps"]
+            lead = F.concat_ws("", *(x for j in range(BEFORE // MIN, 0, -1) for x in (F.get(gaps, k - j), F.get(found, k - j))), F.get(gaps, k))
+            words = [F.when(F.char_length(lead) < BEFORE, F.get("words", i - j)) for j in (3, 2, 1)]
+            tail = F.concat_ws("", *(x for j in range(1, AFTER // MIN + 1) for x in (F.get(gaps, k + j), F.get(found, k + j))))
+            return F.concat(F.right(F.concat_ws(" ", *words, lead), F.lit(BEFORE)), v, F.left(tail, F.lit(AFTER)))
+
+        each = F.flatten(F.transform(parts, lambda p: F.transform(p["found"], lambda v, k: F.struct(v.alias("value"), around(p, v, k).alias("before")))))
+        return F.filter(each, lambda c: c["value"].rlike("[0-9]"))
 
     d = d.select("doc_id", "text", "path", *passed, F.flatten(F.transform("at", cores)).alias("found"))
     described = F.transform("found", lambda c: F.struct(c["value"].alias("value"), F.struct(*(x.cast("double").alias(n) for n, x in features(c["value"], c["before"], F.col("path")).items())).alias("f")))

@@ -287,6 +287,15 @@ def test_secret_scan(spark):
 PAGE = """<html><head><title>T</title></head><body><nav><a href=/>Home</a></nav><div class="ad1">Buy</div><div class="main2"><h1>Head</h1><p>First &amp; long   text of it, quite long.<br><p><b>Second text {n} that is unclosed<div class="comments"><p>Reader says</p></div><form>Mail <input></form><script>x</script><p>Third</div><aside>Side</aside><footer>Foot</footer>"""
 
 
+def test_secret_scan_reads_around_each_candidate(spark):
+    """In one long unbroken word each candidate is judged by the text at its own place."""
+    filler = "".join(f'"k{i}":{i},' for i in range(100))
+    secret, plain = (hashlib.sha256(x).hexdigest()[:40] for x in (b"a", b"b"))
+    rows = [(1, "{" + filler + f'"api_key":"{secret}"' + "}"), (2, '{"token":1,' + filler + f'"commit":"{plain}"' + "}"), (3, f'"api_key":"{secret}",{filler}"commit":"{plain}"')]
+    got = {r.doc_id: r.secrets for r in secret_scan.scan(docs(spark, rows)).collect()}
+    assert got == {1: [secret], 2: [], 3: [secret]}
+
+
 def test_html(spark):
     pages = [(i, f"http://a.org/{i}", PAGE.replace("{n}", str(i)), "p") for i in range(5)] + [(10, None, None, "p"), (11, "http://b.org", "just text <b>bold</b>", "p"), (11, "http://b.org", "", "p"), (None, "http://a.org", "<p>x", "p")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, path string")
