@@ -19,28 +19,29 @@ from terrace.llm.shared import checkpoint_dir
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with new texts by id; ids are unique in documents."""
-    out = docs.drop("text", "n_chars").join(texts.select("doc_id", "text"), "doc_id")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    bad = toxicity.score(docs, queries.toxicity_model(spark, sf_dir)).where("predicted = 1").select("doc_id")
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text the toxicity model rejects go, whatever their id; a row is known by the hash of its text, which alone
+    decides."""
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    bad = toxicity.score(rows, queries.toxicity_model(spark, sf_dir), doc_id="h").where("predicted = 1").select(F.col("doc_id").alias("h")).distinct()
+    return rows.join(bad, "h", "left_anti").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents or more share stay in one of them."""
-    return _with_text(docs.select(*COLUMNS), lines.dedup_lines(docs))
+    """Lines that five documents or more share stay in one of them; all rows stay, those with a null id whole."""
+    out = lines.dedup_lines(docs, extra=["lang", "source"])
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class stays; empty texts are no copies of each other."""
+    """One row of the smallest id of each class stays, of rows that share it the greatest (null texts last); empty texts are
+    no copies of each other; rows with a null id stay."""
     found = near_dup.classes(docs, empty_equal=False)
-    copies = found.where("doc_id <> class_id").select("doc_id")
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    copies = found.where("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def mark_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

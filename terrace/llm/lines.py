@@ -31,19 +31,20 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped, text (what stays), one row for each row of docs."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, text (what stays), and the columns named in ``extra``, one row for each row of docs."""
+    passed = [f"__{c}" for c in extra or []]
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"__{c}") for c in extra or []))
     long_keys = F.filter(F.transform(_lines("text"), line_key), lambda k: F.char_length(k) >= min_chars)
     pairs = d.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("h"))
     pairs = pairs.select("doc_id", "h.a", "h.b")
     hot = pairs.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("a", "b", "keeper")
     drops = pairs.join(hot, ["a", "b"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
-    j = d.join(drops, "doc_id", "left").select("doc_id", _lines("text").alias("lines"), "drops")
+    j = d.join(drops, "doc_id", "left").select("doc_id", _lines("text").alias("lines"), "drops", *passed)
 
     def stays(line: Column) -> Column:
         k = line_key(line)
         return (F.char_length(k) < min_chars) | ~F.array_contains(F.col("drops"), _hash(k))
 
-    j = j.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)).alias("kept"))
-    return j.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    j = j.select("doc_id", *passed, F.size("lines").cast("long").alias("n_lines"), F.when(F.col("drops").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)).alias("kept"))
+    return j.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"), *(F.col(f"__{c}").alias(c) for c in extra or []))

@@ -325,3 +325,16 @@ def test_pipeline(spark):
         out = stage(spark, d, SF)
         assert out.columns == c.COLUMNS, name
         assert out.select("doc_id").subtract(d.select("doc_id")).isEmpty() and out.count() > 0.5 * d.count()
+
+
+def test_pipeline_null_and_repeated_ids(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    rows = [(None, "fine"), (None, "bad"), (1, "fine one"), (1, "bad one"), (2, "same"), (2, "same"), (3, None), (4, "same")]
+    d = docs(spark, rows)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.select(c.COLUMNS).collect()), key=repr)
+    monkeypatch.setattr(c.queries, "toxicity_model", lambda *a: None)
+    monkeypatch.setattr(c.toxicity, "score", lambda df, model, doc_id="doc_id": df.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).startswith("bad").cast("int").alias("predicted")))
+    assert texts(c.drop_toxic(spark, d, SF)) == sorted([x for x in rows if not (x[1] or "").startswith("bad")], key=repr)
+    assert texts(c.drop_lines(spark, d, SF)) == sorted([(i, x or "") for i, x in rows], key=repr)
+    assert texts(c.drop_near_copies(spark, d, SF)) == sorted([(None, "fine"), (None, "bad"), (1, "fine one"), (2, "same"), (3, None)], key=repr)
