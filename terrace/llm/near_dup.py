@@ -8,15 +8,14 @@
    remain; texts of 0.8 ``SHORT`` words or more have those of long texts, so that near texts always have sketches of one
    kind.
 3. Texts that share a sketch meet in its bucket. The smallest id of a bucket leads it, and the others are checked against
-   it; those that fail meet again in the next round under a new leader. After ``ROUNDS`` rounds the members of each bucket
-   that aren't all joined, held by a leader or not, are compared in parts of about ``PART`` texts, a row for each two
-   parts, without any cap; only pairs that are joined already are left out.
+   it. Then the members of each bucket that aren't all joined, held by its leader or not, are compared in parts of about
+   ``PART`` texts, without any cap; only pairs that are joined already are left out.
 4. A pair is near when its edit similarity over words, 1 - distance / longer length, is at least 0.8, found by bit-parallel
-   alignment inside the band that this similarity allows.
+   alignment in the band of diagonals that this similarity allows.
 5. Classes are the connected components of near pairs, by rounds of smallest-label propagation with checkpoints.
 
-Hot keys: candidates join by bucket with its leader, one row for each member; texts join by id. Both are plain equi-joins,
-which Spark splits where a key is hot. Leaders and labels are found by partial aggregates.
+Hot keys: joins by bucket, print and label go through ``join_hot``, which deals out the rows of the largest keys. Leaders and
+labels are found by partial aggregates.
 
 Result: one row for each row of docs: doc_id, class_id (smallest id of its class), n_texts (different texts in the class).
 Nulls: a null or empty text has no words and equals other such texts only if ``empty_equal``; otherwise each is a class of
@@ -29,17 +28,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import cut
+from terrace.llm.shared import cut, join_hot
 
 K, SIMILAR, SKETCHES, ORDER = 2, 0.8, 64, 3
 SHORT, SHORT_SKETCHES = 40, 24
-ROUNDS, PART, BINS, CHARS, FEW = 3, 128, 1024, 500_000, 100_000
+SIDE = ["id", "label", "keys", "words", "marks"]
+PART, PART_WORDS, CHARS, FEW = 128, 40_000, 500_000, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
@@ -73,6 +75,17 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return mixed(sums + (ends - starts).astype(np.uint64) * MULTIPLY), counts
 
 
+def labelled(grams: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hashes of the grams with their occurrence: the place of each among equal ones of its text."""
+    by = np.lexsort((grams, text))
+    same = np.concatenate([[False], (grams[by][1:] == grams[by][:-1]) & (text[by][1:] == text[by][:-1])])
+    run = np.arange(len(by)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    label = np.zeros(len(by), np.uint64)
+    label[by] = run.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return mixed(grams + label * MULTIPLY)
+
+
 def sketches(words: np.ndarray, counts: np.ndarray, number: int = SKETCHES, order: int = ORDER, k: int = K) -> np.ndarray:
     """Order MinHash of texts with at least one word: an array [texts, number] of 64-bit keys."""
     with np.errstate(over="ignore"):
@@ -86,13 +99,7 @@ def sketches(words: np.ndarray, counts: np.ndarray, number: int = SKETCHES, orde
         for i in range(k):
             gram += np.where(i < width, shifted[i][at], np.uint64(0))
         text = np.repeat(np.arange(len(counts)), grams)
-        # occurrence labels: the place of each k-mer among equal ones of its text
-        by = np.lexsort((gram, text))
-        same = np.concatenate([[False], (gram[by][1:] == gram[by][:-1]) & (text[by][1:] == text[by][:-1])])
-        run = np.arange(len(by)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
-        label = np.zeros(len(by), np.uint64)
-        label[by] = run.astype(np.uint64)
-        gram = mixed(gram + label * MULTIPLY)
+        gram = labelled(gram, text)
         out = np.zeros((len(counts), number), np.uint64)
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
         for s in range(number):
@@ -138,30 +145,30 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
         return min(max(len(a), len(b)), most + 1)
     if sum((Counter(a) & Counter(b)).values()) < max(len(a), len(b)) - most:
         return most + 1
+    # Rows are a, columns b, and the band holds the diagonals, row - column from -up to down, that a path of cost ``most`` can
+    # use. Bit k of column j is row j - up + k, so columns slide down a row each; score follows the lowest diagonal.
+    n, m = len(a), len(b)
+    up, down = (most - (n - m)) // 2, (most + (n - m)) // 2
+    full = (1 << (up + down + 1)) - 1
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    n, full = len(a), (1 << len(a)) - 1
-    plus, minus, score = full, 0, n
-    last = 1 << (n - 1)
+    minus, score, spare = (1 << up) - 1, down, m + down - n
+    plus = full & ~minus
     for j, y in enumerate(b):
-        low, high = max(0, j - most - 1), min(n, j + most + 2)
-        band = ((1 << (high - low)) - 1) << low
-        eq = where.get(y, 0) & band
-        x = eq | minus
-        d0 = ((((eq & plus) + plus) ^ plus) | x) & full
-        h_plus = minus | (full & ~(d0 | plus))
+        seen = where.get(y, 0)
+        eq = (seen >> (j - up) if j >= up else seen << (up - j)) & full
+        d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & full
+        h_plus = (minus | ~(d0 | plus)) & full
         h_minus = plus & d0
-        if h_plus & last:
+        if not d0 >> (up + down):
             score += 1
-        elif h_minus & last:
-            score -= 1
-        h_plus = (h_plus << 1 | 1) & full
-        h_minus = h_minus << 1 & full
-        plus = h_minus | (full & ~(d0 | h_plus))
-        minus = h_plus & d0
-        if score - (len(b) - 1 - j) > most:
-            return most + 1
+            if score - spare > most:
+                return most + 1
+        x = d0 >> 1
+        plus, minus = (h_minus | ~(x | h_plus)) & full, x & h_plus
+    for k in range(up + down - 1, up + down - 1 - spare, -1):  # from the lowest diagonal up to the last row
+        score += (minus >> k & 1) - (plus >> k & 1)
     return min(score, most + 1)
 
 
@@ -191,11 +198,13 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fingerprint and words of each text, as 32-bit hashes."""
+    """Fingerprint, words as 32-bit hashes, and 16-bit marks of the words with their occurrence, of each text."""
     for batch in _slices(batches):
         words, counts = word_hashes(batch["text"].tolist())
+        marks = (labelled(words, np.repeat(np.arange(len(counts)), counts)) & np.uint64(0xFFFF)).astype("<u2")
         short, ends = (words & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum(counts)
-        yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
+        each = [slice(e - c, e) for e, c in zip(ends, counts, strict=True)]
+        yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[x].tobytes() for x in each], "marks": [marks[x].tobytes() for x in each]})
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,34 +230,19 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all near pairs that share a bucket. docs: id, text. texts: id, print_a of
     the texts to compare. buckets: key, id, n."""
-    found: DataFrame | None = None
-    words: DataFrame | None = None
-    for _ in range(ROUNDS):
-        leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", F.col("l.id").alias("a"), F.col("l.n").alias("a_n"))
-        met = cut(buckets.join(leaders, "key").where("id <> a").select("key", "id", "n", "a", "a_n"))
-        alike = F.least("a_n", "n") >= SIMILAR * F.greatest("a_n", "n") - 1e-9
-        pairs = cut(met.where(alike).select("a", F.col("id").alias("b")).distinct())
-        if words is None:  # words only of texts that meet others; all of a bucket are checked against its first leader
-            members = met.select("key", "id")
-            asked = met.select("id").union(met.select("a")).distinct()
-            words = cut(_asked(docs, asked).mapInPandas(_words, "id long, print_a long, words binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words").dropDuplicates(["id"]))
-        near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
-        ok = cut(sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b"))
-        held = met.join(ok.withColumnRenamed("b", "id"), ["a", "id"], "left_semi").select("key").distinct()
-        found, open_ = (ok, held) if found is None else (found.unionByName(ok), open_.unionByName(held))
-        # those that their leader doesn't hold go on among themselves, where two or more are left
-        rest = met.join(ok.withColumnRenamed("b", "id"), ["a", "id"], "left_anti").select("key", "id", "n")
-        again = rest.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        buckets = cut(rest.join(again, "key").select("key", "id", "n"))
-        if buckets.isEmpty():
-            break
+    leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", "size", F.col("l.id").alias("a"), F.col("l.n").alias("a_n"))
+    met = cut(join_hot(buckets, leaders, ["key"], "size", ["id"]).select("key", "id", "n", "a", "a_n"))
+    alike = F.least("a_n", "n") >= SIMILAR * F.greatest("a_n", "n") - 1e-9
+    pairs = cut(met.where(alike).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    words = cut(_asked(docs, met.select("id").distinct()).mapInPandas(_words, "id long, print_a long, words binary, marks binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words", "marks").dropDuplicates(["id"]))
+    near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
+    ok = sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b")
+    joined = components(ok)
     # members that a leader holds and those that it doesn't hold meet too, unless they are joined already
-    joined = cut(components(found))
-    open_ = open_.unionByName(buckets.select("key")).distinct()
-    left = members.join(open_, "key", "left_semi").join(joined, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    left = cut(left.join(several, "key", "left_semi"))
+    left = met.select("key", "id", "n").join(joined, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+    left = cut(join_hot(left, several, ["key"], "size", ["id"]).select("key", "id", "n", "label"))
     out = joined.select(F.col("label").alias("a"), F.col("id").alias("b"))
     return out if left.isEmpty() else out.unionByName(_rest_links(_asked(words, left.select("id").distinct()), left))
 
@@ -260,40 +254,71 @@ def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
-    """Buckets (key, id, label) whose members aren't all joined: members are dealt into parts of about ``PART``, those of a
-    label with as many into parts of their own, and each pair of parts is one row, but for two parts of one label. Two texts
-    are compared under the smallest of the keys that they share, and where their labels or the row's links don't join them
-    already, so the links and labels give the classes of all near pairs of the buckets."""
-    own = rest.groupBy("key", "label").agg(F.count("*").alias("own"))
-    pool = own.where(F.col("own") < PART).groupBy("key").agg(F.sum("own").alias("pool"))
-    large = F.col("own") >= PART
-    number = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.when(large, F.col("own")).otherwise(F.col("pool")) / PART))
-    part = F.struct(large.alias("large"), F.when(large, F.col("label")).otherwise(F.lit(0)).alias("of"), number.alias("number"))
-    dealt = rest.join(own, ["key", "label"]).join(pool, "key", "left").select("key", "id", "label", part.alias("part"))
+    """Buckets (key, id, n, label) whose members aren't all joined: members are dealt into parts of about ``PART`` texts and
+    ``PART_WORDS`` words, those of a label with as many into parts of their own. A part gives a row for each part that it
+    meets, which excludes those of its label, and the two rows of a pair come together in one task. Two texts are compared
+    under the smallest of the keys that they share, and where their labels or the pair's links don't join them already, so
+    the links and labels give the classes of all near pairs of the buckets."""
+    weight = F.greatest(F.lit(1.0), F.col("n") * (PART / PART_WORDS))
+    number = lambda c: F.ceil(F.col(c) / PART).cast("long")
+    own = rest.groupBy("key", "label").agg(F.sum(weight).alias("own")).withColumn("own_parts", F.when(F.col("own") >= PART, number("own")).otherwise(0))
+    per_key = own.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("own_parts") == 0, F.col("own"))), F.lit(0.0)).alias("pool"), F.sum("own_parts").alias("large_parts"))
+    before = W.partitionBy("key").orderBy("label").rowsBetween(W.unboundedPreceding, -1)
+    spans = own.where("own_parts > 0").select("key", "label", F.coalesce(F.sum("own_parts").over(before), F.lit(0)).alias("start"))
+    own = own.join(spans, ["key", "label"], "left")
+    dealt = join_hot(rest, own, ["key", "label"], "own", ["id"])
+    dealt = join_hot(dealt, per_key.select("*", (F.col("pool") + F.col("large_parts")).alias("size")), ["key"], "size", ["id"])
+    h, pool_parts, first = F.xxhash64("id", F.lit(3)), number("pool"), number("pool") + F.col("start")
+    part = F.when(F.col("own_parts") > 0, first + F.pmod(h, "own_parts")).otherwise(F.pmod(h, F.greatest(pool_parts, F.lit(1))))
+    dealt = dealt.select("key", "id", "label", part.alias("part"), F.struct((pool_parts + F.col("large_parts")).alias("parts"), first.alias("first"), (first + F.col("own_parts")).alias("end")).alias("span"))
     keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    full = dealt.join(texts.join(keys, "id"), "id").select("key", "part", F.struct("id", "label", "keys", "words").alias("text"))
-    parts = cut(full.groupBy("key", "part").agg(F.collect_list("text").alias("texts")))
-    other = parts.select("key", F.col("part").alias("other"), F.col("texts").alias("others"))
-    pairs = parts.join(other, "key").where("part <= other and not (part.large and other.large and part.of = other.of)").repartition("key", "part", "other").select("key", "texts", "others", (F.col("part") == F.col("other")).alias("same"))
+    full = dealt.join(texts.join(keys, "id"), "id").select("key", "part", "span", F.struct(*SIDE).alias("text"))
+    parts = full.groupBy("key", "part").agg(F.collect_list("text").alias("texts"), F.max("span").alias("span"))
+    met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("span.parts") - 1), lambda q: F.when(F.col("span.first").isNull(), F.lit(True)).otherwise((q < F.col("span.first")) | (q >= F.col("span.end"))))
+    rows = cut(parts).select("key", "part", F.explode(met).alias("other"), *(F.col(f"texts.{c}").alias(c) for c in SIDE))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *SIDE)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             out = set()
             for row in batch.itertuples():
-                out |= _part_links(row.key, row.texts, row.texts if row.same else row.others, row.same)
+                if row.low == row.high:
+                    out |= _part_links(row.key, row, row, True)
+                elif held is None:
+                    held = row
+                else:
+                    out |= _part_links(row.key, held, row, False)
+                    held = None
             yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    return cut(pairs.mapInPandas(check, "a long, b long"))
+    return cut(rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(check, "a long, b long"))
+
 
+def _most_shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """At least the number of words that each two texts share, from their words' marks. A mark is a place in a row of zeros
+    and ones; words of a text that fall on one place are counted besides."""
+    longest = max(len(x) for x in [*one, *two])
+    places = min(1 << 14, 1 << max(8, (4 * longest).bit_length()))
 
-def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) -> set[tuple[int, int]]:
-    """Near pairs between two parts of a bucket that join its texts, with their labels, as all its near pairs do. Words are counted in ``BINS``
-    bins; what two texts share there is at least what they share in words, which bounds their edit distance from below."""
-    sides = [[np.frombuffer(x["words"], "<u4") for x in side] for side in (texts, others)]
-    bins = [np.array([np.bincount(w % BINS, minlength=BINS) for w in side], np.int32) for side in sides]
+    def rows(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in side])
+        m = np.zeros((len(side), places), np.float32)
+        m[np.repeat(np.arange(len(side)), sizes), np.concatenate(side) % places] = 1
+        return m, sizes - m.sum(1)
+
+    (a, a_more), (b, b_more) = rows(one), rows(two)
+    return a @ b.T + np.minimum(a_more[:, None], b_more)
+
+
+def _part_links(key: int, texts: Any, others: Any, same: bool) -> set[tuple[int, int]]:
+    """Near pairs between two parts of a bucket that join its texts, with their labels, as all its near pairs do. A part has
+    arrays of its texts' ``SIDE``. How many words two texts share bounds their edit distance from below."""
+    sides = [[np.frombuffer(x, "<u4") for x in side.words] for side in (texts, others)]
     sizes = np.array([len(w) for w in sides[1]])
-    keys = [[set(x["keys"]) for x in side] for side in (texts, others)]
-    root: dict[int, int] = {x["id"]: x["label"] for side in (texts, others) for x in side if "label" in x}
+    shared = _most_shared(*([np.frombuffer(x, "<u2") for x in side.marks] for side in (texts, others)))
+    root: dict[int, int] = {int(i): int(x) for side in (texts, others) for i, x in zip(side.id, side.label, strict=True)}
+    ids = [[int(i) for i in side.id] for side in (texts, others)]
 
     def top(x: int) -> int:
         while root.get(x, x) != x:
@@ -301,40 +326,44 @@ def _part_links(key: int, texts: list[dict], others: list[dict], same: bool) ->
         return x
 
     out = set()
-    for i, x in enumerate(texts):
+    for i, x in enumerate(ids[0]):
         longest = np.maximum(sizes, len(sides[0][i]))
         most = np.floor((1 - SIMILAR) * longest + 1e-9)
-        may = np.minimum(bins[0][i], bins[1]).sum(1) >= longest - most
-        for j in np.flatnonzero(may & (np.arange(len(sizes)) > i) if same else may):
-            y = others[j]
-            a, b = top(x["id"]), top(y["id"])
-            if a != b and min(keys[0][i] & keys[1][j]) == key and near(sides[0][i], sides[1][j]):
+        may = longest - np.minimum(sizes, len(sides[0][i])) <= most
+        if same:
+            may &= np.arange(len(sizes)) > i
+        may = np.flatnonzero(may & (shared[i] >= longest - most))
+        mine = set(texts.keys[i]) if len(may) else set()
+        for j in may:
+            y = ids[1][j]
+            a, b = top(x), top(y)
+            if a != b and min(mine.intersection(others.keys[j]), default=None) == key and near(sides[0][i], sides[1][j]):
                 root[max(a, b)] = min(a, b)
-                out.add((min(x["id"], y["id"]), max(x["id"], y["id"])))
+                out.add((min(x, y), max(x, y)))
     return out
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Does each edge lead from a node with no other edge to a node that leads nowhere?"""
+    roles = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each linked id's component. Large-star and small-star rounds; each keeps the number
-    of edges, and their number of rounds grows with the logarithm of the component's size."""
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    edges = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
-    was = state(edges)
-    while True:
+    """(id, label): the smallest id of each linked id's component, for all ids but the smallest. Large-star and small-star
+    rounds; each keeps the number of edges, and their number grows with the logarithm of the component's size."""
+    edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
         # large star: larger neighbours to the least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(join_hot(both.where("v > u"), least, ["u"], "size", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: smaller neighbours, and the node, to the least one
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("w"), F.col("u").alias("x"), "m")
-        new = small.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(small.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, before = cut(new), was
-        was = state(edges)
-        if was == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = join_hot(large, down, ["u"], "size", ["v"]).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.where("u <> v").distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", empty_equal: bool = True) -> DataFrame:
@@ -344,10 +373,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", empty_e
     if not empty_equal:
         hashed = hashed.withColumn("print_b", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("print_b")))
     hashed = cut(hashed)
-    firsts = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"))
-    member = cut(hashed.select("id", "print_a", "print_b", "n").join(firsts, ["print_a", "print_b", "n"]).select("id", "first", "n", "print_a"))
-    one = member.where("id = first and n > 0").groupBy("id").agg(F.min(F.struct("print_a", "n")).alias("x")).select("id", "x.print_a", "x.n")
-    texts = cut(hashed.join(one, ["id", "print_a", "n"]).dropDuplicates(["id"]).select("id", "print_a", "n", "keys"))
+    # equal prints have equal sketches; of the texts of one id the one with the smallest print is compared
+    firsts = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    texts = cut(firsts.where("n > 0").groupBy("first").agg(F.min(F.struct("print_a", "n", "keys")).alias("x")).select(F.col("first").alias("id"), "x.*"))
+    same = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    member = cut(join_hot(hashed.select("id", "print_a", "print_b", "n"), same, ["print_a", "print_b", "n"], "copies", ["id"]).select("id", "first", "n", "print_a"))
     buckets = texts.select(F.explode("keys").alias("key"), "id", "n")
     near_pairs = links(d, texts.select("id", "print_a"), buckets)
     # rows that share an id but not a text are linked through the id

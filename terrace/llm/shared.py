@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +19,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in files that outlive executors. Shuffle files that only the cut lineage needed stay on the
-    executors' disks until the driver collects its garbage, so it is asked to."""
+    """df with its lineage cut, in files that outlive executors."""
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint()
+
+
+#: Keys that join_hot() joins by broadcast.
+HOT = 256
+
+
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], size: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """big with the columns of small, which has one row a key and has in ``size`` about how many rows of big it meets. The ``HOT``
+    largest keys, a fixed number of rows, are joined by broadcast, and their rows of big are dealt by ``spread``; each other
+    key has less than 1 / HOT of the rows, and goes by shuffle. how: inner or left."""
+    values = [c for c in small.columns if c not in keys]
+    top = small.orderBy(F.desc(size), *keys).limit(HOT).select(*keys, F.struct(*values).alias("__hot"))
+    j = big.join(F.broadcast(top), keys, "left")
+    j = j.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
+    j = j.join(small.select(*keys, F.lit(0).alias("__deal"), F.struct(*values).alias("__cold")), [*keys, "__deal"], "left")
+    j = j.withColumn("__found", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        j = j.where("__found is not null")
+    return j.select(*big.columns, *(F.col(f"__found.{c}").alias(c) for c in values))
 
 
 def finite_vector(c: Column) -> Column:
