@@ -2,8 +2,8 @@
 go, except in the largest document id that holds them; the rest is joined again in order.
 
 Counting runs in two steps, by (hash, document) and then by hash with partial counts, so a line that most documents share
-costs each task one row. The join that finds each document's lines to drop is a plain equi-join, which Spark splits where
-a key is hot. Keys are two independent 64-bit hashes.
+costs each task one row. The join that finds each document's lines to drop deals out the rows of the most frequent lines
+(``join_hot``). Keys are two independent 64-bit hashes.
 
 Nulls: a null text is one empty line. Rows with a null id take no part and stay whole. Rows that share an id are one
 document when documents are counted; each of them loses its lines. Short keys and an empty table change nothing.
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.llm.shared import join_hot
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,8 +40,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     long_keys = F.filter(F.transform(_lines("text"), line_key), lambda k: F.char_length(k) >= min_chars)
     pairs = d.where("doc_id is not null").select("doc_id", F.explode(F.array_distinct(F.transform(long_keys, _hash))).alias("h"))
     pairs = pairs.select("doc_id", "h.a", "h.b")
-    hot = pairs.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("a", "b", "keeper")
-    drops = pairs.join(hot, ["a", "b"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
+    hot = pairs.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("a", "b", "keeper", "n")
+    drops = join_hot(pairs, hot, ["a", "b"], "n", ["doc_id"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
     j = d.join(drops, "doc_id", "left").select("doc_id", _lines("text").alias("lines"), "drops", *passed)
 
     def stays(line: Column) -> Column:
