@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 1024
+#: White space is Unicode's, as tokenizers have it; Python's \\s holds the separators 1C to 1F besides.
+BLANK = "[^\\S\x1c-\x1f]"
 #: Chunks that byte-level pre-tokenization never joins: an optional space with what isn't white space, or white space.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+CHUNK = re.compile(rf" ?(?:(?!{BLANK})[\s\S])+|{BLANK}+(?!(?!{BLANK})[\s\S])|{BLANK}+")
+#: Fixed value: the pre-tokenization that byte-level BPE files name (ByteLevel with its regex) without stating it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -229,6 +231,3 @@ def _packed(tokenizer: str, window: int, end_id: int, layout: dict[str, int]) ->
 
     return run
 
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
