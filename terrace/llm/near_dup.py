@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrace.llm.shared import cut, join_hot
+from terrace.llm.shared import cut, join_hot, release
 
 K, SIMILAR, SKETCHES, ORDER = 2, 0.8, 64, 3
 SHORT, SHORT_SKETCHES = 40, 24
@@ -227,30 +227,40 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]].assign(ok=ok)
 
 
-def links(docs: DataFrame, texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all near pairs that share a bucket. docs: id, text. texts: id, print_a of
-    the texts to compare. buckets: key, id, n."""
-    leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.count("*").alias("size")).where("size > 1").select("key", "size", F.col("l.id").alias("a"), F.col("l.n").alias("a_n"))
-    met = cut(join_hot(buckets, leaders, ["key"], "size", ["id"]).select("key", "id", "n", "a", "a_n"))
-    alike = F.least("a_n", "n") >= SIMILAR * F.greatest("a_n", "n") - 1e-9
-    pairs = cut(met.where(alike).where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    words = cut(_asked(docs, met.select("id").distinct()).mapInPandas(_words, "id long, print_a long, words binary, marks binary").join(texts, ["id", "print_a"], "left_semi").select("id", "words", "marks").dropDuplicates(["id"]))
+def links(docs: DataFrame, texts: DataFrame, keys: str = "keys") -> DataFrame:
+    """Links (a, b) whose components are those of all near pairs that share a bucket. docs: id, text. texts: id, print_a, n of
+    the texts to compare, and the keys of their buckets."""
+    buckets = texts.select(F.explode(keys).alias("key"), "id")
+    leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    met = cut(join_hot(buckets, leaders, ["key"], "size", ["id"]).select("key", "id", "a"))
+    release(docs.sparkSession)
+    sizes = texts.select("id", "n")
+    pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
+    pairs = cut(pairs.where(F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n") - 1e-9).select("a", "b"))
+    words = _asked(docs, met.select("id").distinct()).mapInPandas(_words, "id long, print_a long, words binary, marks binary")
+    words = cut(words.join(texts.select("id", "print_a"), ["id", "print_a"], "left_semi").dropDuplicates(["id"]).select("id", "words", "marks"))
     near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
     ok = sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b")
     joined = components(ok)
+    release(docs.sparkSession)
     # members that a leader holds and those that it doesn't hold meet too, unless they are joined already
-    left = met.select("key", "id", "n").join(joined, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
+    left = met.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    left = cut(join_hot(left, several, ["key"], "size", ["id"]).select("key", "id", "n", "label"))
+    left = cut(join_hot(left, several, ["key"], "size", ["id"]).select("key", "id", "label").join(sizes, "id"))
     out = joined.select(F.col("label").alias("a"), F.col("id").alias("b"))
     return out if left.isEmpty() else out.unionByName(_rest_links(_asked(words, left.select("id").distinct()), left))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast where they are few, by their count."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
-    """Words of the asked ids; where these are few, by their count, they are broadcast, so that only their words move."""
-    few = ids.limit(FEW + 1).count() <= FEW
-    return words.join(F.broadcast(ids), "id", "left_semi") if few else words.join(ids, "id", "left_semi")
+    """Words of the asked ids. Where these are few, only their words move."""
+    return words.join(_few(ids), "id", "left_semi")
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
@@ -374,12 +384,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", empty_e
         hashed = hashed.withColumn("print_b", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("print_b")))
     hashed = cut(hashed)
     # equal prints have equal sketches; of the texts of one id the one with the smallest print is compared
-    firsts = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
-    texts = cut(firsts.where("n > 0").groupBy("first").agg(F.min(F.struct("print_a", "n", "keys")).alias("x")).select(F.col("first").alias("id"), "x.*"))
     same = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    member = cut(join_hot(hashed.select("id", "print_a", "print_b", "n"), same, ["print_a", "print_b", "n"], "copies", ["id"]).select("id", "first", "n", "print_a"))
-    buckets = texts.select(F.explode("keys").alias("key"), "id", "n")
-    near_pairs = links(d, texts.select("id", "print_a"), buckets)
+    several = cut(same.where("n > 0").groupBy("first").agg(F.min("print_a").alias("least"), F.count("*").alias("texts")).where("texts > 1").select("first", "least"))
+    firsts = hashed.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
+    firsts = firsts.join(_few(several), "first", "left").where("least is null or least = print_a")
+    texts = cut(firsts.select(F.col("first").alias("id"), "print_a", "n", "keys"))
+    member = cut(join_hot(hashed.select("id", "print_a", "print_b", "n"), same, ["print_a", "print_b", "n"], "copies", ["id"]).select("id", "first"))
+    release(d.sparkSession)
+    near_pairs = links(d, texts)
     # rows that share an id but not a text are linked through the id
     labels = components(near_pairs.unionByName(member.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))))
     found = member.select("id", "first").distinct().join(labels, "id", "left").select("id", "first", F.coalesce("label", "id").alias("class_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only cut lineage needed: they stay on the executors' disks until the driver collects its
+    garbage, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys that join_hot() joins by broadcast.
 HOT = 256
 
@@ -36,7 +44,8 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], size: str, sprea
     top = small.orderBy(F.desc(size), *keys).limit(HOT).select(*keys, F.struct(*values).alias("__hot"))
     j = big.join(F.broadcast(top), keys, "left")
     j = j.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
-    j = j.join(small.select(*keys, F.lit(0).alias("__deal"), F.struct(*values).alias("__cold")), [*keys, "__deal"], "left")
+    none = F.when(F.col(size) < 0, 1).otherwise(0)  # 0, which the optimizer must not know, else it takes __deal out of the keys
+    j = j.join(small.select(*keys, none.alias("__deal"), F.struct(*values).alias("__cold")), [*keys, "__deal"], "left")
     j = j.withColumn("__found", F.coalesce("__hot", "__cold"))
     if how == "inner":
         j = j.where("__found is not null")

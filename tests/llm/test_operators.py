@@ -182,8 +182,7 @@ def test_near_dup_joins_held_and_not_held(spark):
     # every star's texts in one bucket: what shares it must be joined as by comparing all pairs
     d = spark.createDataFrame(rows, "id long, text string")
     hashed = d.mapInPandas(near_dup._hashed, "id long, print_a long, print_b long, n long, keys array<long>")
-    buckets = hashed.select(F.floor(F.col("id") / 100).alias("key"), "id", "n")
-    pairs = near_dup.links(d, hashed.select("id", "print_a"), buckets)
+    pairs = near_dup.links(d, hashed.withColumn("keys", F.array(F.floor(F.col("id") / 100))))
     got = {i: i for i, _ in rows} | {r.id: r.label for r in near_dup.components(pairs).collect()}
     assert got == brute_classes(rows)
 
