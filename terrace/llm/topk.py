@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are packed, where they lie, into buckets of similar length: each group of up to ``packed`` rows is sorted by length
-and cut into matrices of ``bucket`` rows. Queries are packed into blocks. Each block meets all buckets, longest first, and
-keeps its k best scores so far; theta is the k-th of them. For a bucket with longest length m, a query of length |q| has
+and cut into matrices of ``bucket`` rows. Buckets are dealt to groups, where they stay; queries are packed into blocks, which
+go to all groups, since only they and their k best of a group move. A block meets a group's buckets, longest first, and keeps
+its k best scores so far; theta is the k-th of them. For a bucket with longest length m, a query of length |q| has
 the local cosine threshold t = theta / (|q| m):
 
 t > 1        no vector of the bucket can qualify: skipped.
@@ -10,7 +11,8 @@ t high       coordinate pruning: with q' and p' the directions, cos >= t bounds
              t q'_f -+ sqrt((1 - t^2)(1 - q'_f^2)); only vectors inside all bounds are verified.
 else         length pruning: only vectors with |p| >= theta / |q| are verified.
 
-Verification is the inner product of the original vectors. Memory holds one block, one bucket and k scores for a block.
+Verification is the inner product of the original vectors. Memory holds a group's buckets, one block and k scores for each of
+its queries.
 
 Nulls and odd values: vectors null, empty or with null or non-finite components, and rows with a null id, take no part.
 Shorter vectors are padded with zeros. Ties go to the smaller id. Rows that share an id are candidates each; a query
@@ -19,7 +21,7 @@ doesn't see rows of its own id. Fewer than k candidates give fewer rows; empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,12 +73,12 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vectors).reshape(row.n, row.width)
 
 
-def paired(queries: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
-    """Every query block with every block of vectors: query blocks are dealt to all groups, blocks to one each. Rows come
-    by query block, then by falling length."""
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    b = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    return q.hint("shuffle_hash").join(b, "group").repartition(groups, "group", "q_block").sortWithinPartitions("group", "q_block", F.desc("longest"))
+def streamed(held: DataFrame, asked: DataFrame, groups: int, run: Callable, schema: str, order: str) -> DataFrame:
+    """held: rows with a group from 0 on, which stay together; asked: rows that go to all groups. run gets the rows of a group
+    one after the other, tag 0: the held ones by falling ``order``, then tag 1: the asked ones."""
+    everywhere = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("tag"))
+    rows = held.withColumn("tag", F.lit(0)).unionByName(everywhere, allowMissingColumns=True)
+    return rows.repartition(2 * groups, "group").sortWithinPartitions("group", "tag", F.desc(order)).mapInPandas(run, schema)
 
 
 def best(rows: DataFrame, k: int) -> DataFrame:
@@ -119,41 +121,37 @@ def bucket_scores(q: np.ndarray, own: int, q_len: float, m: np.ndarray, ids: np.
     return ids[places], m[places] @ q
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, bucket: int = 1024, block: int = 512, groups: int = 12, coordinate_from: float = 0.5, focus: int = 3) -> DataFrame:
-    """vectors, queries: (id long, v array of integers as double). Products stay exact below 2^53."""
-    pairs = paired(packed_blocks(queries, block, block, by_length=False), packed_blocks(vectors, bucket, 8 * bucket), groups)
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, bucket: int = 1024, block: int = 512, buckets: int = 8, coordinate_from: float = 0.5, focus: int = 3) -> DataFrame:
+    """vectors, queries: (id long, v array of integers as double). Products stay exact below 2^53. About ``buckets`` buckets are
+    one task's, so the number of tasks grows with the data."""
+    groups = max(1, -(-vectors.count() // (bucket * buckets)))
+    held = packed_blocks(vectors, bucket, 8 * bucket).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-
-        def done() -> pd.DataFrame:
-            out = [(q, int(i), float(s)) for q, (ids, scores) in state for i, s in zip(ids, scores, strict=True)]
-            return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
+        group, of_group = None, []
         for batch in batches:
             for row in batch.itertuples():
-                if (row.group, row.q_block) != now:
-                    if state:
-                        yield done()
-                    now = (row.group, row.q_block)
-                    q_ids, q_m = np.frombuffer(row.q_ids, "<i8"), np.frombuffer(row.q_vectors).reshape(row.q_n, row.q_width)
-                    q_len = np.sqrt((q_m * q_m).sum(1))
-                    state = [(int(q), (np.array([], "<i8"), np.array([]))) for q in q_ids]
+                if row.group != group:
+                    group, of_group = row.group, []
                 ids, m = unpack(row)
-                width = max(m.shape[1], q_m.shape[1])
-                m, qs = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (m, q_m))
-                lengths = np.sqrt((m * m).sum(1))
-                for j, (own, (got, scores)) in enumerate(state):
-                    theta = scores[-1] if len(scores) == k else -np.inf
-                    new, products = bucket_scores(qs[j], own, q_len[j], m, ids, lengths, theta, coordinate_from, focus)
-                    if len(new):
-                        i, s = np.concatenate([got, new]), np.concatenate([scores, products])
-                        at = smaller(s, i, k)
-                        state[j] = (own, (i[at], s[at]))
-        if state:
-            yield done()
-
-    return best(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), k)
+                if row.tag == 0:
+                    of_group.append((ids, m, np.sqrt((m * m).sum(1))))
+                    continue
+                state = [(np.array([], "<i8"), np.array([]))] * len(ids)
+                q_len = np.sqrt((m * m).sum(1))
+                for b_ids, b, lengths in of_group:
+                    width = max(b.shape[1], m.shape[1])
+                    vs, qs = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (b, m))
+                    for j, (got, scores) in enumerate(state):
+                        theta = scores[-1] if len(scores) == k else -np.inf
+                        new, products = bucket_scores(qs[j], ids[j], q_len[j], vs, b_ids, lengths, theta, coordinate_from, focus)
+                        if len(new):
+                            i, s = np.concatenate([got, new]), np.concatenate([scores, products])
+                            at = smaller(s, i, k)
+                            state[j] = (i[at], s[at])
+                yield pd.DataFrame({"query_id": np.repeat(ids, [len(i) for i, _ in state]), "vec_id": np.concatenate([i for i, _ in state]), "score": np.concatenate([s for _, s in state])})
+
+    return best(streamed(held, packed_blocks(queries, block, block, by_length=False), groups, run, "query_id long, vec_id long, score double", "longest"), k)
 
 
 def scaled(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
