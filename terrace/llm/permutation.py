@@ -4,11 +4,11 @@ Vectors of different lengths get one more component, sqrt(L^2 - |x|^2) with L th
 inner product is the nearest direction; queries get 0 there. A vector is represented by its ``prefix`` nearest pivots in
 order. Vectors are dealt by hash to blocks of about ``block``, which keep one inverted file for each pivot: (vector, place
 of the pivot). A query reads the files of its own nearest pivots and ranks vectors by the footrule distance of the
-prefixes, a pivot that is missing counting as place ``prefix``; the nearest ``share`` of each block, and ``least`` at
-least, are reranked by their exact inner product. Every vector is indexed.
+prefixes, a pivot that is missing counting as place ``prefix``; the nearest ``share`` of each block, and as many as a result
+may need, are reranked by their exact inner product, at every size alike. Every vector is indexed.
 
-Queries are dealt by hash to groups of about ``query_block``. A group meets all blocks in one task, one block at a time,
-and keeps k results a query, so that only those leave it.
+Blocks stay where they are built. Queries go to all of them in groups of about ``query_block``, and k results a query and
+block come back.
 
 Pivots are a bounded sample, ``pivots`` distinct vectors with the smallest hashes. Equal vectors are indexed once with
 their k + 1 smallest ids, which is all that a result of k can hold, so copies can't crowd out others.
@@ -29,9 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrace.llm.shared import finite_vector
-from terrace.llm.topk import as_double, best, smaller
+from terrace.llm.topk import as_double, best, smaller, streamed
 
-INDEX = "block long, n int, ids binary, counts binary, vectors binary, starts binary, members binary, places binary"
+INDEX = "group int, n int, ids binary, counts binary, vectors binary, starts binary, members binary, places binary"
 QUERIES = "part long, q_ids binary, q_vectors binary"
 
 
@@ -70,7 +70,7 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return m
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, prefix: int = 64, share: float = 0.15, least: int = 256, block: int = 4096, query_block: int = 512, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, prefix: int = 64, share: float = 0.2, block: int = 8192, query_block: int = 512, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest found, never a row of its own id."""
     v, qv = valid(vectors, id_col, vector), valid(queries, id_col, vector).dropDuplicates(["id", "v"])
     d = distinct_vectors(v, k + 1)
@@ -89,33 +89,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, pr
         flat = permutations(lifted(m, longest), p, prefix).ravel()
         order = np.argsort(flat, kind="stable")
         starts = np.searchsorted(flat[order], np.arange(len(p) + 1))
-        return pd.DataFrame([{"block": key[0], "n": len(m), "ids": np.concatenate(list(rows["ids"])).astype("<i8").tobytes(), "counts": rows["ids"].map(len).to_numpy("<i4").tobytes(), "vectors": m.tobytes(), "starts": starts.astype("<i4").tobytes(), "members": (order // prefix).astype("<u4" if len(m) > 65536 else "<u2").tobytes(), "places": (order % prefix).astype("<i2").tobytes()}])
+        return pd.DataFrame([{"group": key[0], "n": len(m), "ids": np.concatenate(list(rows["ids"])).astype("<i8").tobytes(), "counts": rows["ids"].map(len).to_numpy("<i4").tobytes(), "vectors": m.tobytes(), "starts": starts.astype("<i4").tobytes(), "members": (order // prefix).astype("<u4" if len(m) > 65536 else "<u2").tobytes(), "places": (order % prefix).astype("<i2").tobytes()}])
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"part": key[0], "q_ids": rows["id"].to_numpy("<i8").tobytes(), "q_vectors": matrix(rows["v"], width).tobytes()}])
 
-    index = d.withColumn("block", F.pmod(F.xxhash64(F.lit(29), "v"), F.lit(blocks))).groupBy("block").applyInPandas(build, INDEX)
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long")).repartition(3 * parts, "part")
-    q = qv.withColumn("part", F.pmod(F.xxhash64(F.lit(31), "id", "v"), F.lit(parts)).cast("long")).groupBy("part").applyInPandas(gather, QUERIES).repartition(3 * parts, "part")
-    pairs = q.hint("shuffle_hash").join(index, "part").sortWithinPartitions("part")
+    index = d.withColumn("group", F.pmod(F.xxhash64(F.lit(29), "v"), F.lit(blocks)).cast("int")).groupBy("group").applyInPandas(build, INDEX)
+    q = qv.withColumn("part", F.pmod(F.xxhash64(F.lit(31), "id", "v"), F.lit(parts)).cast("long")).groupBy("part").applyInPandas(gather, QUERIES)
 
     def nearest(row, qm: np.ndarray, own: np.ndarray, perm: np.ndarray, state: list) -> None:
         """Puts what a block has into the results of a group's queries."""
-        m = np.frombuffer(row.vectors).reshape(row.n, width)
+        rows = int(row.n)
+        m = np.frombuffer(row.vectors).reshape(rows, width)
         counts = np.frombuffer(row.counts, "<i4")
         ids, first = np.frombuffer(row.ids, "<i8"), np.concatenate([[0], np.cumsum(counts)])
         starts = np.frombuffer(row.starts, "<i4")
-        members = np.frombuffer(row.members, "<u4" if row.n > 65536 else "<u2").astype(np.intp)
+        members = np.frombuffer(row.members, "<u4" if rows > 65536 else "<u2").astype(np.intp)
         left = (prefix - np.frombuffer(row.places, "<i2")).astype(float)
-        keep = min(row.n, max(least, math.ceil(share * row.n)))
+        keep = min(rows, max(k + 1, math.ceil(share * rows)))
         for j in range(len(own)):
-            at = np.arange(row.n)
+            at = np.arange(rows)
             if keep < row.n:
                 # Footrule of prefixes, from its greatest value down: a pivot at places r and s of both takes away
                 # (prefix - r) + (prefix - s) - |r - s|, which is twice the smaller of the two.
                 spans = [slice(starts[x], starts[x + 1]) for x in perm[j]]
                 mine = np.repeat(prefix - np.arange(prefix, dtype=float), [x.stop - x.start for x in spans])
-                near = np.bincount(np.concatenate([members[x] for x in spans]), np.minimum(mine, np.concatenate([left[x] for x in spans])), row.n)
+                near = np.bincount(np.concatenate([members[x] for x in spans]), np.minimum(mine, np.concatenate([left[x] for x in spans])), rows)
                 at = np.argpartition(-near, keep - 1)[:keep]
             n = counts[at]
             i = ids[np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -126,24 +125,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 256, pr
             state[j] = i[top], s[top]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, own, state = None, np.array([], "<i8"), []
-
-        def done() -> pd.DataFrame:
-            n = [len(i) for i, _ in state]
-            return pd.DataFrame({"query_id": np.repeat(own, n), "vec_id": np.concatenate([i for i, _ in state]), "score": np.concatenate([s for _, s in state])})
-
+        held = None
         for batch in batches:
             for row in batch.itertuples():
-                if row.part != part:
-                    if state:
-                        yield done()
-                    part, own = row.part, np.frombuffer(row.q_ids, "<i8")
-                    qm = np.frombuffer(row.q_vectors).reshape(len(own), width)
-                    state = [(np.array([], "<i8"), np.array([]))] * len(own)
-                    units = qm / np.sqrt((qm * qm).sum(1))[:, None]
-                    perm = permutations(np.hstack([units, np.zeros((len(own), 1))]), p, prefix)
-                nearest(row, qm, own, perm, state)
-        if state:
-            yield done()
-
-    return best(pairs.mapInPandas(run, "query_id long, vec_id long, score double"), k)
+                if row.tag == 0:
+                    held = row
+                    continue
+                if held is None or held.group != row.group:  # a group without vectors
+                    continue
+                own = np.frombuffer(row.q_ids, "<i8")
+                qm = np.frombuffer(row.q_vectors).reshape(len(own), width)
+                state = [(np.array([], "<i8"), np.array([]))] * len(own)
+                units = qm / np.sqrt((qm * qm).sum(1))[:, None]
+                nearest(held, qm, own, permutations(np.hstack([units, np.zeros((len(own), 1))]), p, prefix), state)
+                yield pd.DataFrame({"query_id": np.repeat(own, [len(i) for i, _ in state]), "vec_id": np.concatenate([i for i, _ in state]), "score": np.concatenate([s for _, s in state])})
+
+    return best(streamed(index, q, blocks, run, "query_id long, vec_id long, score double", "n"), k)

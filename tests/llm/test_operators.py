@@ -233,7 +233,7 @@ def test_top_k_is_exact(spark):
     data = {r.id: np.pad(r.v, (0, 8 - len(r.v))) for r in v.collect()}
     assert not {300, 301, 302, 303} & set(data) and 304 in data
     got = {}
-    for r in topk.top_k(v, v.where("id % 5 = 0"), 20, bucket=32, block=8, groups=3).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(v, v.where("id % 5 = 0"), 20, bucket=32, block=8, buckets=2).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     for q in (i for i in data if i % 5 == 0):
         assert got[q] == sorted(((i, float(data[i] @ data[q])) for i in data if i != q), key=lambda x: (-x[1], x[0]))[:20]
@@ -245,7 +245,7 @@ def test_permutation_index(spark):
     data = {r.id: np.pad(r.v, (0, 8 - len(r.v))) for r in permutation.valid(e, "vec_id", "embedding").collect()}
     assert 304 not in data
     got = {}
-    for r in permutation.search(e, e.where("vec_id % 5 = 0"), 20, block=40, query_block=16).orderBy("query_id", "rank").collect():
+    for r in permutation.search(e, e.where("vec_id % 5 = 0"), 20, share=0.5, block=80, query_block=16).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     hit = total = 0
     for q in (i for i in data if i % 5 == 0):
@@ -255,6 +255,24 @@ def test_permutation_index(spark):
     assert permutation.search(e.limit(0), e.limit(0), 20).count() == 0
 
 
+def test_permutation_index_prunes_and_finds(spark):
+    """The registered query on a table of which it reranks a part only, against brute force."""
+    sf = "/root/testdata/sf0.01"
+    data = {r.id: np.array(r.v) for r in permutation.valid(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding").collect()}
+    ids = np.array(sorted(data))
+    m = np.array([data[i] for i in ids])
+    got: dict = {}
+    for r in queries.op6_permutation_index(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score == pytest.approx(float(data[r.query_id] @ data[r.vec_id]), rel=1e-12)
+    recall = []
+    for q in ids[ids % 20 == 0]:
+        s = np.where(ids == q, -np.inf, m @ data[q])
+        recall.append(len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    print("recall", np.mean(recall), min(recall), len(ids))
+    assert np.mean(recall) >= 0.9 and len(ids) * 0.25 > 21
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
@@ -325,6 +343,44 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_hostile_and_nested():
+    """Quotes outside values, nested containers, class names of paragraphs, and pages whose markup never closes."""
+    import time
+
+    read = lambda page: html.main_text(html.blocks(page), None)
+    long = "Long text of a section, with many words in it. " * 5
+    assert read("<article><p title=don't>One</p><p>it's two</p></article>") == "One\nit's two"
+    assert read(f"<body><article><h1>Head</h1><p>Intro</p><section><p>{long}</p></section><table><tr><td>cell<td>{long}</table></article><div class=x><p>teaser</p></div>") == "\n".join(["Head", "Intro", long.strip(), "cell", long.strip()])
+    assert read(f"<body><div id=a><ul><li>{long}<li>{long}</ul><p>Direct</p></div>") == "\n".join([long.strip(), long.strip(), "Direct"])
+    assert read(f"<article><p class=search-history>Kept</p><div class='related links'><p>gone</p></div><p>{long}</p></article>") == "Kept\n" + long.strip()
+    assert read("a < b &amp; c <3 <p>x<!-- never closed") == "a < b & c <3\nx" and read("<p>x<script>if (a</script>y") == "xy"
+    for part in ("<script ", '<a "', "<a b='", "<a b=\"'", "<", "<!", "</", "<p>", "<div>", "<b><p>", "</b", "<title>", "<!--", "<li><ul>", "&#", "<a b = ", "<div>x", "<p>x", "<ul><li>x"):
+        took = []
+        for size in (50_000, 200_000):  # four times the page takes about four times as long
+            page, began = part * (size // len(part)), time.process_time()
+            html.blocks(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 1, (part, took)
+
+
+def test_html_equals_a_second_reading(spark):
+    """Against a reading of the tables' pages by regular expressions, through the registered query."""
+    import html as entities
+    import re
+
+    def second(page):
+        page = re.sub(r"(?s)<(script|style|nav|header|footer|aside|form)\b.*?</\1>|<!--.*?-->", "", page or "")
+        m = re.search(r"(?s)<article[^>]*>(.*?)</article>", page)
+        parts = re.split(r"</?(?:p|h\d|br|div|ul|ol|li|table|tr|td|blockquote|section|pre)\b[^>]*>", m[1]) if m else []
+        parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        return "\n".join(x for x in parts if x)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = queries.op9_consensus_html(spark, SF).collect()
+    assert len(got) == len(pages) and sum(r.text == second(pages[r.page_id]) for r in got) >= 0.99 * len(got)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_lines(spark):
     line = "This line is shared by many documents, and long enough."
     rows = [(i, f"own {i}\n  {line.upper()}\t\nend") for i in range(6)] + [(50, line), (50, line), (51, None), (None, line), (52, LONG)]
