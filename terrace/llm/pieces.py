@@ -7,7 +7,7 @@ characters whose states are (place, last piece), and the encoding is the shortes
 Weights: for a unigram model an arc weighs minus its piece's score. For a BPE model the merge order is a constraint between
 neighbours: a piece sequence is the BPE encoding exactly if each two neighbours are the encoding of their own
 concatenation. Such transitions weigh 0, others infinity, so the one path of finite weight is the encoding that the
-library gives. Each prefix has one such path, so one state for each place is enough.
+library gives. Each prefix has one such path, so a place stands for the state (place, last piece).
 
 No piece has the escape mark behind another character, so texts are cut before marks that follow others, and around ASCII
 characters that are in no longer piece; words, which repeat, are kept in a bounded memory.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+INFINITE = float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -93,23 +94,21 @@ class Transducer:
         self.pair: dict[tuple[str, str], bool] = {}
         self.packed = {p: struct.pack("<I", i) for p, i in self.ids.items()}
         self.known: dict[str, bytes] = {}
-        # what stands for the trie: lengths of pieces by first character, and for BPE the pieces that merges can make
-        self.lengths: dict[str, list[int]] = {}
-        for p in self.ids:
-            self.lengths.setdefault(p[0], [])
-            if len(p) not in self.lengths[p[0]]:
-                self.lengths[p[0]].append(len(p))
-        self.lengths = {c: sorted(ls) for c, ls in self.lengths.items()}
         self.whole = all(MARK not in p.lstrip(MARK) for p in self.ids)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
         self.chunk = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
-        self.good = {p for p in self.ids if self.kind != BPE or self._merged(p) == [p]}
-        ends: dict[str, set[int]] = {}
-        for p in self.good:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {c: tuple(sorted(ls, reverse=True)) for c, ls in ends.items()}
+        # arcs of the pieces, as a trie: the key "" of a node holds the piece that ends there and its weight
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            if self.kind == BPE and self._merged(p) != [p]:
+                continue  # merges never make it
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (p, len(p), 0.0 if self.kind == BPE else -self.score[i])
+        normal = [x[1] for x in self.pieces if x[2] == NORMAL]
+        self.outside = 0.0 if self.kind == BPE else 10.0 - min(normal, default=0.0)
 
     @classmethod
     def of(cls, path: str) -> Transducer:
@@ -148,47 +147,42 @@ class Transducer:
         return ok
 
     def path(self, chunk: str) -> list[str]:
-        """The shortest path's pieces; a character outside the alphabet is a piece of its own."""
-        n, ids, lengths = len(chunk), self.ids, self.lengths
-        if self.kind == BPE:
-            last = [""] * (n + 1)
-            good, compatible, ends, pair = self.good, self._compatible, self.ends, self.pair
-            if n:
-                last[1] = chunk[0]
-            for j in range(2, n + 1):
-                for k in ends.get(chunk[j - 2 : j], ()):
-                    if k > j:
-                        continue
-                    p = chunk[j - k : j]
-                    if p in good:
-                        if j == k:
-                            last[j] = p
-                            break
-                        a = last[j - k]
-                        ok = pair.get((a, p))
-                        if compatible(a, p) if ok is None else ok:
-                            last[j] = p
-                            break
-                else:
-                    last[j] = chunk[j - 1]
-            out, j = [], n
-            while j:
-                out.append(last[j])
-                j -= len(last[j])
-            return out[::-1]
-        worst = min(self.score) - 10.0
-        cost: list[tuple[float, str]] = [(0.0, "")] + [(float("inf"), "")] * n
-        for i, c in enumerate(chunk):
-            for k in dict.fromkeys([1, *lengths.get(c, ())]):
-                p = chunk[i : i + k]
-                if i + k <= n and (p in ids or k == 1):
-                    w = cost[i][0] - (self.score[ids[p]] if p in ids else worst)
-                    if w < cost[i + k][0]:
-                        cost[i + k] = (w, p)
+        """The pieces of the shortest path, by min-plus relaxation over the lattice of places: an arc for each piece of the
+        trie that starts at a place, and one of weight ``outside`` for a character that no piece is, which byte fallback
+        writes. BPE adds the weight between neighbours. A character outside is a piece of its own."""
+        n, bpe, pair, compatible = len(chunk), self.kind == BPE, self.pair, self._compatible
+        cost, last = [INFINITE] * (n + 1), [""] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            so_far = cost[i]
+            if so_far == INFINITE:
+                continue
+            before, node, at = last[i], self.trie, i
+            one = node.get(chunk[i])
+            if one is None or "" not in one:
+                arcs = [(chunk[i], 1, self.outside)]
+            else:
+                arcs = []
+            while at < n:
+                node = node.get(chunk[at])
+                if node is None:
+                    break
+                at += 1
+                arc = node.get("")
+                if arc is not None:
+                    arcs.append(arc)
+            for p, size, weight in arcs:
+                j = i + size
+                if so_far + weight < cost[j]:
+                    if bpe and before:
+                        ok = pair.get((before, p))
+                        if not (compatible(before, p) if ok is None else ok):
+                            continue
+                    cost[j], last[j] = so_far + weight, p
         out, j = [], n
         while j:
-            out.append(cost[j][1])
-            j -= len(cost[j][1])
+            out.append(last[j])
+            j -= len(last[j])
         return out[::-1]
 
     def _outside(self, c: str) -> bytes:
