@@ -9,8 +9,9 @@ Language model: counts of character triples of all documents, from one pass with
 
 Score: a lexicon of words and word beginnings that are much more frequent in toxic than in clean labelled documents, and a
 logistic model of how many words of a document hit it, how strongly, and how densely. Both are fitted on ``sample``
-labelled documents at most (distinct texts, by smallest hash), the lexicon on one half and the logistic model on the other
-where there are enough. Labels are used nowhere else.
+labelled documents at most (distinct texts, by smallest hash): each third of them is described by a lexicon of the other two,
+the logistic model is fitted on those descriptions, and the lexicon that scores is that of all three. Labels are used
+nowhere else.
 
 Nulls and odd values: a null text is empty; an empty text scores as one without hits; rows with null or repeated ids are
 scored each; without any labelled toxic document all score 0; an empty table gives no rows.
@@ -41,6 +42,7 @@ THREE = re.compile(r"([^\W\d_])\1\1")
 ANY = re.compile(r"[^\W\d_]+")
 SIZE = 64  # character classes of the language model
 SAMPLE = 4000
+FOLDS = 3
 BEGINNINGS = (4, 5, 6)
 #: What is known of tokens without hits, one object for all that have as many words.
 NO_HITS = [(n, 0, 0.0) for n in range(8)]
@@ -203,12 +205,12 @@ class Model:
 
 
 def _lexicon(docs: list[tuple[Counter, int]]) -> dict[str, float]:
-    """Features at least ten times as frequent in toxic documents, in 2 % of them and 3 at least (2 where there are few)."""
+    """Features at least ten times as frequent in toxic documents, in 2 % of them and 2 at least."""
     seen = [Counter(), Counter()]
     n = [sum(y == 0 for _, y in docs), sum(y == 1 for _, y in docs)]
     for words, y in docs:
         seen[y].update({f for w in words for f in features(w)})
-    least = max(2 if n[1] < 40 else 3, 0.02 * n[1])
+    least = max(2, 0.02 * n[1])
     out = {}
     for f, a in seen[1].items():
         if a >= least and len(f) > 3:
@@ -247,12 +249,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic = sum(y for _, y in data)
     if not toxic or toxic == len(data):
         return Model(counts, {}, (0.0,) * 4, any_toxic=False)
-    a, b = (data[::2], data[1::2]) if toxic >= 100 else (data, data)
-    lexicon = _lexicon(a)
-    model = Model(counts, lexicon, (0.0,) * 4)
-    seen: dict[str, tuple] = {}
-    x, y = np.array([model.inputs(bag, seen) for bag, _ in b]), np.array([y for _, y in b], float)
-    return Model(counts, lexicon, tuple(float(v) for v in _logistic(x, y)))
+    folds = [data[k::FOLDS] for k in range(FOLDS)]
+    x, y = [], []
+    for k, fold in enumerate(folds):
+        part = Model(counts, _lexicon([d for j, f in enumerate(folds) if j != k for d in f]), (0.0,) * 4)
+        seen: dict[str, tuple] = {}
+        x += [part.inputs(bag, seen) for bag, _ in fold]
+        y += [label for _, label in fold]
+    return Model(counts, _lexicon(data), tuple(float(v) for v in _logistic(np.array(x), np.array(y, float))))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
