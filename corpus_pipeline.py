@@ -14,17 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm import lines, near_dup, packing, queries, secret_scan, toxicity
-from terrace.llm.shared import checkpoint_dir
+from terrace.llm.shared import checkpoint_dir, cut, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the toxicity model rejects go, whatever their id; a row is known by the hash of its text, which alone
-    decides."""
-    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    bad = toxicity.score(rows, queries.toxicity_model(spark, sf_dir), doc_id="h").where("predicted = 1").select(F.col("doc_id").alias("h")).distinct()
-    return rows.join(bad, "h", "left_anti").select(*COLUMNS)
+    """Rows whose text the toxicity model rejects go, whatever their id."""
+    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), extra=["text", "lang", "source", "n_chars"])
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of the smallest id of each class stays, of rows that share it the greatest (null texts last); empty texts are
     no copies of each other; rows with a null id stay."""
     found = near_dup.classes(docs, empty_equal=False)
-    copies = found.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
-    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    copies = cut(found.where("doc_id <> class_id").select("doc_id").distinct())
+    kept = docs.select(*COLUMNS).join(near_dup.few(copies), "doc_id", "left_anti")
+    again = near_dup.few(cut(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")))
     one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
     return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
@@ -56,16 +54,19 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_copies), ("secret_scan", mark_secrets), ("packing", pack_windows)]
-#: No stage but line dedup can be put in SQL; tests hold the stages against brute force.
+#: No stage but line dedup can be put in SQL; tests hold all five against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents."""
+    """All stages over the whole of documents. A stage's files go when the next one has read them; the last one's stay."""
     root = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -253,14 +253,14 @@ def links(docs: DataFrame, texts: DataFrame, keys: str = "keys") -> DataFrame:
     return out if left.isEmpty() else out.unionByName(_rest_links(_asked(words, left.select("id").distinct()), left))
 
 
-def _few(keys: DataFrame) -> DataFrame:
+def few(keys: DataFrame) -> DataFrame:
     """keys, to be broadcast where they are few, by their count."""
     return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
 
 
 def _asked(words: DataFrame, ids: DataFrame) -> DataFrame:
     """Words of the asked ids. Where these are few, only their words move."""
-    return words.join(_few(ids), "id", "left_semi")
+    return words.join(few(ids), "id", "left_semi")
 
 
 def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", empty_e
     same = hashed.groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     several = cut(same.where("n > 0").groupBy("first").agg(F.min("print_a").alias("least"), F.count("*").alias("texts")).where("texts > 1").select("first", "least"))
     firsts = hashed.where("n > 0").groupBy("print_a", "print_b", "n").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
-    firsts = firsts.join(_few(several), "first", "left").where("least is null or least = print_a")
+    firsts = firsts.join(few(several), "first", "left").where("least is null or least = print_a")
     texts = cut(firsts.select(F.col("first").alias("id"), "print_a", "n", "keys"))
     member = cut(join_hot(hashed.select("id", "print_a", "print_b", "n"), same, ["print_a", "print_b", "n"], "copies", ["id"]).select("id", "first"))
     release(d.sparkSession)

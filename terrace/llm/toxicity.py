@@ -259,9 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(counts, _lexicon(data), tuple(float(v) for v in _logistic(np.array(x), np.array(y, float))))
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted: one row for each row of docs."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted, and the columns named in ``extra``: one row for each row of docs."""
+    passed = {f"__{c}": docs.schema[c].dataType.simpleString() for c in extra or []}
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).alias(f"__{c}") for c in extra or []))
     shared = d.sparkSession.sparkContext.broadcast(model)  # SIZE^3 numbers and a lexicon of a bounded sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,10 +270,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         channel, seen = Channel(m.counts), {}
         for batch in batches:
             out = [m.score(Counter(channel.joined(t).split()), seen, channel.fresh) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out} | {c: batch[c].astype("Int64") if kind == "bigint" else batch[c] for c, kind in passed.items()})
 
-    out = d.mapInPandas(run, "doc_id long, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = d.mapInPandas(run, ", ".join(["doc_id long", "score double", *(f"`{c}` {kind}" for c, kind in passed.items())]))
+    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(c).alias(c.removeprefix("__")) for c in passed))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

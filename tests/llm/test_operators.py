@@ -446,7 +446,58 @@ def test_pipeline_null_and_repeated_ids(spark, monkeypatch):
     d = docs(spark, rows)
     texts = lambda df: sorted(((r.doc_id, r.text) for r in df.select(c.COLUMNS).collect()), key=repr)
     monkeypatch.setattr(c.queries, "toxicity_model", lambda *a: None)
-    monkeypatch.setattr(c.toxicity, "score", lambda df, model, doc_id="doc_id": df.select(F.col(doc_id).alias("doc_id"), F.coalesce("text", F.lit("")).startswith("bad").cast("int").alias("predicted")))
+    monkeypatch.setattr(c.toxicity, "score", lambda df, model, extra: df.select("doc_id", *extra, F.coalesce("text", F.lit("")).startswith("bad").cast("int").alias("predicted")))
     assert texts(c.drop_toxic(spark, d, SF)) == sorted([x for x in rows if not (x[1] or "").startswith("bad")], key=repr)
     assert texts(c.drop_lines(spark, d, SF)) == sorted([(i, x or "") for i, x in rows], key=repr)
     assert texts(c.drop_near_copies(spark, d, SF)) == sorted([(None, "fine"), (None, "bad"), (1, "fine one"), (2, "same"), (3, None)], key=repr)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() on planted rows: toxic texts, a shared line, near and exact copies, secrets, null ids and texts."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ta", "lo", "mi", "ren", "ke") for b in ("sta", "ko", "vin", "dal", "pe", "ru")]
+    shared = "A line that many of these documents hold, long enough to count."
+    secret = "AKIA" + hashlib.sha256(b"s").hexdigest()[:16].upper()
+    rows, labels = {}, []
+    for i in range(200):
+        w = [rng.choice(words) for _ in range(60)]
+        if i % 5 == 0:
+            w[3:3] = [rng.choice(["idiot", "moron"]), "scum"]
+        rows[i] = " ".join(w)
+        labels.append((i, i % 2, int(i % 5 == 0)))
+    for i in range(1, 50, 7):
+        rows[i] += "\n  " + shared.upper() + "\t\nlast words of it"
+    rows |= {300: rows[2], 301: " ".join(["new", *rows[3].split()[1:]]), 302: rows[4] + f" key = {secret} end", 303: None, 304: ""}
+    nulls = ["nobody owns this text", "nobody owns this text"]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [*rows.items(), *((None, t) for t in nulls)]], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = c.run(spark, str(tmp_path)).collect()
+
+    left = {i: t or "" for i, t in rows.items() if not set((t or "").split()) & {"idiot", "moron", "scum"}}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    holders: dict = {}
+    for i, t in left.items():
+        for line in t.split("\n"):
+            if len(key(line)) >= 40:
+                holders.setdefault(key(line), set()).add(i)
+    left = {i: "\n".join(x for x in t.split("\n") if len(holders.get(key(x), ())) < 5 or i == max(holders[key(x)])) for i, t in left.items()}
+    classes = brute_classes([(i, t) for i, t in left.items() if t])
+    left = {i: t.replace(secret, "<SECRET>") for i, t in left.items() if classes.get(i, i) == i}
+    assert 300 not in left and 301 not in left and 302 not in left and 303 in left and 304 in left
+    t = Tokenizer.from_file(BPE)
+    want = sorted(((i, t.encode(x, add_special_tokens=False).ids + [0]) for i, x in [*left.items(), *((None, x) for x in nulls)]), key=repr)
+    got: dict = {}
+    for r in sorted(out, key=lambda r: (repr(r.doc_id), r.start)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    nobody = got.pop(None)
+    assert len(nobody) == sum(len(ids) for i, ids in want if i is None)
+    assert got == {i: ids for i, ids in want if i is not None}
+    size: dict = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert size.get(r.sequence_id, 0) == r.offset
+        size[r.sequence_id] = r.offset + r.length
+    assert max(size.values()) <= 1024
