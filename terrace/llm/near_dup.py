@@ -40,7 +40,8 @@ from terrace.llm.shared import cut, join_hot, release
 
 K, SIMILAR, SKETCHES, ORDER = 2, 0.8, 64, 3
 SHORT, SHORT_SKETCHES = 40, 24
-SIDE = ["id", "label", "keys", "words", "marks"]
+SIDE = ["id", "label", "keys", "words"]
+LEAST = 8
 PART, PART_WORDS, CHARS, FEW = 128, 40_000, 500_000, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
@@ -198,13 +199,11 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fingerprint, words as 32-bit hashes, and 16-bit marks of the words with their occurrence, of each text."""
+    """Fingerprint and words, as 32-bit hashes, of each text."""
     for batch in _slices(batches):
         words, counts = word_hashes(batch["text"].tolist())
-        marks = (labelled(words, np.repeat(np.arange(len(counts)), counts)) & np.uint64(0xFFFF)).astype("<u2")
         short, ends = (words & np.uint64(0xFFFFFFFF)).astype("<u4"), np.cumsum(counts)
-        each = [slice(e - c, e) for e, c in zip(ends, counts, strict=True)]
-        yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[x].tobytes() for x in each], "marks": [marks[x].tobytes() for x in each]})
+        yield pd.DataFrame({"id": batch["id"].values, "print_a": prints(words, counts)[0], "words": [short[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,8 +237,8 @@ def links(docs: DataFrame, texts: DataFrame, keys: str = "keys") -> DataFrame:
     pairs = met.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = pairs.join(sizes.toDF("a", "a_n"), "a").join(sizes.toDF("b", "b_n"), "b")
     pairs = cut(pairs.where(F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n") - 1e-9).select("a", "b"))
-    words = _asked(docs, met.select("id").distinct()).mapInPandas(_words, "id long, print_a long, words binary, marks binary")
-    words = cut(words.join(texts.select("id", "print_a"), ["id", "print_a"], "left_semi").dropDuplicates(["id"]).select("id", "words", "marks"))
+    words = _asked(docs, met.select("id").distinct()).mapInPandas(_words, "id long, print_a long, words binary")
+    words = cut(words.join(texts.select("id", "print_a"), ["id", "print_a"], "left_semi").dropDuplicates(["id"]).select("id", "words"))
     near_by = _asked(words, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sides = pairs.join(near_by.select(F.col("id").alias("a"), F.col("words").alias("a_words")), "a").join(near_by.select(F.col("id").alias("b"), F.col("words").alias("b_words")), "b")
     ok = sides.select("a", "b", "a_words", "b_words").mapInPandas(_verified, "a long, b long, ok boolean").where("ok").select("a", "b")
@@ -267,8 +266,9 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
     """Buckets (key, id, n, label) whose members aren't all joined: members are dealt into parts of about ``PART`` texts and
     ``PART_WORDS`` words, those of a label with as many into parts of their own. A part gives a row for each part that it
     meets, which excludes those of its label, and the two rows of a pair come together in one task. Two texts are compared
-    under the smallest of the keys that they share, and where their labels or the pair's links don't join them already, so
-    the links and labels give the classes of all near pairs of the buckets."""
+    where neither their labels nor the pair's links join them already, and where no smaller key is among the ``LEAST`` smallest
+    of both, under which they are compared too; so the links and labels give the classes of all near pairs of the buckets."""
+    release(rest.sparkSession)
     weight = F.greatest(F.lit(1.0), F.col("n") * (PART / PART_WORDS))
     number = lambda c: F.ceil(F.col(c) / PART).cast("long")
     own = rest.groupBy("key", "label").agg(F.sum(weight).alias("own")).withColumn("own_parts", F.when(F.col("own") >= PART, number("own")).otherwise(0))
@@ -281,11 +281,11 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
     h, pool_parts, first = F.xxhash64("id", F.lit(3)), number("pool"), number("pool") + F.col("start")
     part = F.when(F.col("own_parts") > 0, first + F.pmod(h, "own_parts")).otherwise(F.pmod(h, F.greatest(pool_parts, F.lit(1))))
     dealt = dealt.select("key", "id", "label", part.alias("part"), F.struct((pool_parts + F.col("large_parts")).alias("parts"), first.alias("first"), (first + F.col("own_parts")).alias("end")).alias("span"))
-    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    keys = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("keys"))
     full = dealt.join(texts.join(keys, "id"), "id").select("key", "part", "span", F.struct(*SIDE).alias("text"))
     parts = full.groupBy("key", "part").agg(F.collect_list("text").alias("texts"), F.max("span").alias("span"))
     met = F.filter(F.sequence(F.lit(0).cast("long"), F.col("span.parts") - 1), lambda q: F.when(F.col("span.first").isNull(), F.lit(True)).otherwise((q < F.col("span.first")) | (q >= F.col("span.end"))))
-    rows = cut(parts).select("key", "part", F.explode(met).alias("other"), *(F.col(f"texts.{c}").alias(c) for c in SIDE))
+    rows = parts.select("key", "part", F.explode(met).alias("other"), *(F.col(f"texts.{c}").alias(c) for c in SIDE))
     rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *SIDE)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,18 +306,19 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def _most_shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """At least the number of words that each two texts share, from their words' marks. A mark is a place in a row of zeros
-    and ones; words of a text that fall on one place are counted besides."""
+    """At least the number of words that each two texts share. A word with its occurrence is a place in a row of zeros and
+    ones; words of a text that fall on one place are counted besides."""
     longest = max(len(x) for x in [*one, *two])
     places = min(1 << 14, 1 << max(8, (4 * longest).bit_length()))
 
     def rows(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in side])
-        m = np.zeros((len(side), places), np.float32)
-        m[np.repeat(np.arange(len(side)), sizes), np.concatenate(side) % places] = 1
+        m, text = np.zeros((len(side), places), np.float32), np.repeat(np.arange(len(side)), sizes)
+        m[text, labelled(np.concatenate(side).astype(np.uint64), text) % np.uint64(places)] = 1
         return m, sizes - m.sum(1)
 
-    (a, a_more), (b, b_more) = rows(one), rows(two)
+    a, a_more = rows(one)
+    b, b_more = (a, a_more) if one is two else rows(two)
     return a @ b.T + np.minimum(a_more[:, None], b_more)
 
 
@@ -326,7 +327,7 @@ def _part_links(key: int, texts: Any, others: Any, same: bool) -> set[tuple[int,
     arrays of its texts' ``SIDE``. How many words two texts share bounds their edit distance from below."""
     sides = [[np.frombuffer(x, "<u4") for x in side.words] for side in (texts, others)]
     sizes = np.array([len(w) for w in sides[1]])
-    shared = _most_shared(*([np.frombuffer(x, "<u2") for x in side.marks] for side in (texts, others)))
+    shared = _most_shared(sides[0], sides[0] if same else sides[1])
     root: dict[int, int] = {int(i): int(x) for side in (texts, others) for i, x in zip(side.id, side.label, strict=True)}
     ids = [[int(i) for i in side.id] for side in (texts, others)]
 
@@ -347,7 +348,7 @@ def _part_links(key: int, texts: Any, others: Any, same: bool) -> set[tuple[int,
         for j in may:
             y = ids[1][j]
             a, b = top(x), top(y)
-            if a != b and min(mine.intersection(others.keys[j]), default=None) == key and near(sides[0][i], sides[1][j]):
+            if a != b and min(mine.intersection(others.keys[j]), default=key) >= key and near(sides[0][i], sides[1][j]):
                 root[max(a, b)] = min(a, b)
                 out.add((min(x, y), max(x, y)))
     return out

@@ -142,12 +142,8 @@ def test_part_links_join_what_brute_force_joins():
     def brute(key, left, right):
         return [(x["id"], y["id"]) for x in left for y in right if x["id"] < y["id"] and min(set(x["keys"]) & set(y["keys"]), default=None) == key and near_dup.near(*(np.frombuffer(t["words"], "<u4") for t in (x, y)))]
 
-    def marks(words):
-        w = np.frombuffer(words, "<u4").astype(np.uint64)
-        return (near_dup.labelled(w, np.zeros(len(w), int)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
-
     def side(part):
-        return SimpleNamespace(id=[x["id"] for x in part], label=[x["id"] for x in part], keys=[x["keys"] for x in part], words=[x["words"] for x in part], marks=[marks(x["words"]) for x in part])
+        return SimpleNamespace(id=[x["id"] for x in part], label=[x["id"] for x in part], keys=[x["keys"] for x in part], words=[x["words"] for x in part])
 
     for key, left, right, same in [(5, texts, texts, True), (5, texts[:40], texts[40:], False)]:
         got = near_dup._part_links(key, side(left), side(right), same)
