@@ -29,11 +29,15 @@ def enum_rank(c: Column, symbols: Sequence[str]) -> Column:
 
 
 def decimal_from_bytes(c: Column, precision: int, scale: int) -> Column:
-    """A big-endian two's complement number of up to 8 bytes as a decimal."""
-    value = F.conv(F.hex(c), 16, 10).cast("decimal(38,0)")
-    size = F.pow(F.lit(2.0), F.length(c) * 8).cast("decimal(38,0)")
-    negative = F.conv(F.substring(F.hex(c), 1, 1), 16, 10).cast("int") >= 8
-    return (F.when(negative, value - size).otherwise(value) / F.pow(F.lit(10.0), F.lit(scale)).cast("decimal(38,0)")).cast(T.DecimalType(precision, scale))
+    """A big-endian two's complement number of any width as a decimal; null where it has over 38 digits."""
+    wide = T.DecimalType(38, 0)
+    byte = lambda i: F.conv(F.hex(F.substring(c, i, 1)), 16, 10).cast("int")
+    signed = F.when(byte(F.lit(1)) >= 128, byte(F.lit(1)) - 256).otherwise(byte(F.lit(1))).cast(wide)
+    add = lambda v, i: F.try_add(F.try_multiply(v, F.lit(256).cast(T.DecimalType(3, 0))), byte(i).cast(T.DecimalType(3, 0))).cast(wide)
+    value = F.aggregate(F.filter(F.sequence(F.lit(1), F.length(c)), lambda i: i > 1), signed, add)
+    digits = F.lpad(F.abs(value).cast("string"), F.greatest(F.length(F.abs(value).cast("string")), F.lit(scale + 1)), F.lit("0"))
+    whole = F.concat(F.when(value < 0, "-").otherwise(""), F.substr(digits, F.lit(1), F.length(digits) - scale), F.lit("."), F.right(digits, F.lit(scale)), F.lit("0"))
+    return F.when(F.length(c) > 0, whole.try_cast(T.DecimalType(precision, scale)))
 
 
 def hash128(*cols: Column | str) -> Column:

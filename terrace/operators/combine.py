@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrace.session import shared_dir
+
 
 def concat(*tables: DataFrame) -> DataFrame:
     """All rows of tables of one schema."""
@@ -44,3 +46,17 @@ def overlay(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
 def both(*conditions: Column) -> Column:
     """Row sets ANDed."""
     return reduce(lambda a, b: a & b, conditions)
+
+
+def numbered(ordered_rows: DataFrame, name: str = "pos") -> DataFrame:
+    """Sorted rows with their place from 1 on. The sorted partitions are kept in the shared folder, and a count for each of
+    them is collected, so no task holds all rows."""
+    shared_dir(ordered_rows.sparkSession)
+    rows = ordered_rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at")).checkpoint()
+    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
+    offsets, total = [0], 0
+    for part in range(max(counts, default=0) + 1):
+        total += counts.get(part, 0)
+        offsets.append(total)
+    place = F.element_at(F.array(*map(F.lit, offsets)), F.col("__part") + 1) + F.col("__at") + 1
+    return rows.select(place.cast("long").alias(name), *ordered_rows.columns)

@@ -46,7 +46,7 @@ class Dataset:
 
     def where(self, leaf: str, predicate: Predicate) -> Dataset:
         if leaf not in leaves(self.schema):
-            raise ValueError(f"No column named {leaf}")
+            raise ValueError(f"unknown leaf: {leaf}")
         return replace(self, filters=(*self.filters, (leaf, predicate)))
 
     def set_filters(self, filters: dict[str, Predicate]) -> Dataset:

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrace.functions import predicates as P
-from terrace.functions.scalars import enum_rank, key_text, money, revenue
-from terrace.operators.combine import concat, ordered, overlay, sorted_merge
+from terrace.functions.scalars import decimal_from_bytes, key_text, money, revenue
+from terrace.operators.combine import concat, numbered, ordered, overlay, sorted_merge
 from terrace.operators.nest import LayerSpec, child_keys, nest, nest_layers, parent_of
-from terrace.operators.positions import row_slice
+from terrace.operators.positions import row_slice, seek
 from terrace.operators.store import NestedStore, bulk_load
 from terrace.plans.cascade import Dataset
-from terrace.session import table
+from terrace.schema import invalid_rows, narrow, resolve
+from terrace.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,9 +38,20 @@ def query(sql: str | None = None):
     return put
 
 
+def stored(s: SparkSession, d: str) -> str:
+    """Path of the nested table of all columns, customers with orders with lines, stored once by session and data folder."""
+    path = f"{shared_dir(s)}/terrace-nested-{s.sparkContext.applicationId}-{zlib.crc32(d.encode())}"
+    at = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        layers = [(CUSTOMER, table(s, d, "customer")), (ORDER, table(s, d, "orders")), (LayerSpec("line", ("l_orderkey",), ("l_orderkey",)), table(s, d, "lineitem"))]
+        nest_layers(layers).write.mode("overwrite").parquet(path)
+    return path
+
+
 def nested(s: SparkSession, d: str, customer: list[str] = ["c_custkey"], orders: list[str] = ["o_orderkey", "o_custkey"], lines: list[str] = ["l_orderkey"]) -> Dataset:  # noqa: B006
-    """Customers with their orders with their lines, from the flat tables, of the named columns."""
-    return Dataset.of(nest_layers([(CUSTOMER, table(s, d, "customer").select(*customer)), (ORDER, table(s, d, "orders").select(*orders)), (LayerSpec("line", ("l_orderkey",), ("l_orderkey",)), table(s, d, "lineitem").select(*lines))]))
+    """Customers with their orders with their lines, of the named columns, from the stored nested table."""
+    path = stored(s, d)
+    return Dataset.parquet(s, path, narrow(s.read.parquet(path).schema, [*customer, *orders, *lines]))
 
 
 REV = "sum(cast(l_extendedprice as decimal(12,2)) * (cast(1 as decimal(12,2)) - cast(l_discount as decimal(12,2))))"
@@ -353,9 +366,9 @@ def child_keys_lookup(s, d):
     return x.select("o_custkey", F.size("children").cast("long").alias("n"), F.element_at("children", 1)["o_orderkey"].alias("first_child"), F.element_at("children", -1)["o_orderkey"].alias("last_child"))
 
 
-@query("select c_custkey, o_orderkey from customer join orders on o_custkey = c_custkey join supplier on s_nationkey = c_nationkey where s_suppkey < 3 and s_acctbal <> c_acctbal")
+@query("select c_custkey, o_orderkey from customer join orders on o_custkey = c_custkey join supplier on s_nationkey = c_nationkey where s_acctbal <> c_acctbal")
 def residual_join(s, d):
-    x = table(s, d, "customer").join(table(s, d, "supplier").where("s_suppkey < 3"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") != F.col("c_acctbal")))
+    x = table(s, d, "customer").join(table(s, d, "supplier"), (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") != F.col("c_acctbal")))
     return x.join(table(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
 
 
@@ -368,21 +381,21 @@ def concat_files(s, d):
     return concat(o.where("o_orderstatus = 'F'"), o.where("o_totalprice > 200000")).select("o_orderkey")
 
 
-@query("select row_number() over (order by o_orderkey, source) pos, o_orderkey, source from (select o_orderkey, 0 source from orders where o_orderkey % 2 = 0 union all select o_orderkey, 1 from orders where o_orderkey % 3 = 0) order by pos limit 1000")
+@query("select row_number() over (order by o_orderkey, source) pos, o_orderkey, source from (select o_orderkey, 0 source from orders where o_orderkey % 2 = 0 union all select o_orderkey, 1 from orders where o_orderkey % 3 = 0)")
 def sorted_merge_first(s, d):
-    """The first 1000 of a merge, a report by position."""
+    """A merge with each row's position."""
     o = table(s, d, "orders").select("o_orderkey")
-    x = sorted_merge(["o_orderkey"], o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0")).limit(1000)
-    return x.select(F.row_number().over(W.orderBy("o_orderkey", "source")).cast("long").alias("pos"), "o_orderkey", "source")
+    x = sorted_merge(["o_orderkey"], o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"))
+    return numbered(x).select("pos", "o_orderkey", "source")
 
 
-@query("select row_number() over (order by r, o_totalprice desc, o_orderkey) pos, o_orderkey from (select *, list_position(['5-LOW', '1-URGENT', '3-MEDIUM'], o_orderpriority) r from orders where o_orderpriority in ('5-LOW', '1-URGENT', '3-MEDIUM')) order by pos limit 500")
+@query("select row_number() over (order by r, o_totalprice desc, o_orderkey) pos, o_orderkey from (select *, list_position(['5-LOW', '1-URGENT', '3-MEDIUM'], o_orderpriority) r from orders where o_orderpriority in ('5-LOW', '1-URGENT', '3-MEDIUM'))")
 def order_enum_first(s, d):
-    """The first 500 by enum order, then price descending."""
+    """Positions by enum order, then price descending."""
     rank = ["5-LOW", "1-URGENT", "3-MEDIUM"]
     o = table(s, d, "orders").where(F.col("o_orderpriority").isin(*rank))
-    x = ordered(o, {"o_orderpriority": "ascending", "o_totalprice": "descending", "o_orderkey": "ascending"}, {"o_orderpriority": rank}).limit(500)
-    return x.select(F.row_number().over(W.orderBy(enum_rank(F.col("o_orderpriority"), rank), F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("pos"), "o_orderkey")
+    x = ordered(o, {"o_orderpriority": "ascending", "o_totalprice": "descending", "o_orderkey": "ascending"}, {"o_orderpriority": rank})
+    return numbered(x.select("o_orderkey")).select("pos", "o_orderkey")
 
 
 @query("select c_custkey, trim(c_name) || '|' || trim(c_mktsegment) k from customer")
@@ -461,7 +474,7 @@ def store_move_fk(s, d):
 def store_compact(s, d):
     """Deletes, writes a version to the shared folder, and reads it back."""
     keys = table(s, d, "customer").where("c_custkey % 9 = 0").select("c_custkey", F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"))
-    root = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/terrace-store-{s.sparkContext.applicationId}"
+    root = f"{shared_dir(s)}/terrace-store-{s.sparkContext.applicationId}"
     _store(s, d).apply({"customer": _ops(keys, "delete")}).save(s, root)
     return NestedStore.open(s, root).layer("line")[1]
 
@@ -485,3 +498,44 @@ def hash_partition_counts(s, d):
     from terrace.functions.scalars import partition_of
 
     return table(s, d, "customer").groupBy(partition_of(F.col("c_custkey"), 8).alias("part")).agg(F.count("*").alias("n"))
+
+
+# ---- schemas, positions, decimals
+
+
+@query("select c_custkey, 'none' c_note, o_orderkey, cast(o_totalprice as double) o_totalprice from customer join orders on o_custkey = c_custkey")
+def evolved_nested(s, d):
+    """A stored nested table under a newer schema: a default at the top, columns dropped and types promoted below an array."""
+    old = nested(s, d, ["c_custkey"], ["o_orderkey", "o_custkey", "o_totalprice"], ["l_orderkey"]).table()
+    order = T.StructType([T.StructField("o_orderkey", T.DecimalType(20, 0)), T.StructField("o_totalprice", T.DoubleType())])
+    new = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_note", T.StringType(), metadata={"default": '"none"'}), T.StructField("orderList", T.ArrayType(order))])
+    x = resolve(old, new).select("c_custkey", "c_note", F.explode("orderList").alias("o"))
+    return x.select("c_custkey", "c_note", F.col("o.o_orderkey").cast("long").alias("o_orderkey"), "o.o_totalprice")
+
+
+@query("select distinct o_custkey c_custkey from orders where o_orderstatus not in ('F', 'O')")
+def invalid_nested(s, d):
+    """Customers with an order whose status isn't a symbol of the enum."""
+    x = nested(s, d, ["c_custkey"], ["o_orderkey", "o_custkey", "o_orderstatus"], ["l_orderkey"]).table()
+    order = T.StructType([T.StructField("o_orderstatus", T.StringType(), metadata={"symbols": ["F", "O"]})])
+    return invalid_rows(x, T.StructType([T.StructField("orderList", T.ArrayType(order))])).select("c_custkey")
+
+
+@query("select row_number() over (order by o_orderkey) - 1 as row_index, o_orderkey from orders qualify row_index between 100 and 1299")
+def row_slice_files(s, d):
+    """A slice that spans the files of a sorted table, whose names follow its order."""
+    path = f"{shared_dir(s)}/terrace-files-{s.sparkContext.applicationId}-{zlib.crc32(d.encode())}"
+    table(s, d, "orders").select("o_orderkey").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.mode("overwrite").parquet(path)
+    return row_slice(s, path, 100, 1200, ["o_orderkey"])
+
+
+@query("select o_orderkey, cast(-o_orderkey as decimal(38, 6)) * 1000003 as v from orders")
+def decimal_bytes(s, d):
+    """Twelve-byte two's complement numbers with six places."""
+    o = table(s, d, "orders").withColumn("b", F.unhex(F.concat(F.when(F.col("o_orderkey") == 0, F.repeat(F.lit("00"), 4)).otherwise(F.repeat(F.lit("ff"), 4)), F.lpad(F.hex(-F.col("o_orderkey") * 1000003 * 1000000), 16, "0"))))
+    return o.select("o_orderkey", decimal_from_bytes(F.col("b"), 38, 6).alias("v"))
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_orderkey >= 1000")
+def seek_from(s, d):
+    return seek(table(s, d, "lineitem"), "l_orderkey", 1000).select("l_orderkey", "l_linenumber")

@@ -7,7 +7,7 @@ unique in its table.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -127,7 +127,7 @@ def narrow(schema: T.StructType, names: Iterable[str]) -> T.StructType:
     optimizer's own pruning stops at higher-order functions."""
     wanted, known = set(names), leaves(schema)
     if missing := wanted - set(known):
-        raise ValueError(f"No column named {sorted(missing)}")
+        raise ValueError(f"unknown leaves: {sorted(missing)}")
 
     def cut(s: T.StructType) -> T.StructType:
         out = T.StructType()
@@ -144,25 +144,55 @@ def narrow(schema: T.StructType, names: Iterable[str]) -> T.StructType:
 
 
 def invalid_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows that break what Spark types can't say: enum symbols and fixed sizes of top-level columns."""
+    """Rows that break what Spark types can't say, at any depth: enum symbols and fixed sizes."""
+    return df.where(_broken(lambda n: F.col(n), schema))
+
+
+def _broken(get: Callable[[str], Column], schema: T.StructType) -> Column:
     bad: Column = F.lit(False)
     for f in schema.fields:
-        if "symbols" in f.metadata and isinstance(f.dataType, T.StringType):
-            bad = bad | F.coalesce(~F.col(f.name).isin(*f.metadata["symbols"]), F.lit(False))
-        if "size" in f.metadata:
-            bad = bad | F.coalesce(F.length(f.name) != f.metadata["size"], F.lit(False))
-    return df.where(bad)
+        c, kind = get(f.name), f.dataType
+        if "symbols" in f.metadata and isinstance(kind, T.StringType):
+            bad = bad | F.coalesce(~c.isin(*f.metadata["symbols"]), F.lit(False))
+        elif "size" in f.metadata:
+            bad = bad | F.coalesce(F.length(c) != f.metadata["size"], F.lit(False))
+        elif is_layer(kind):
+            bad = bad | F.coalesce(F.exists(c, _element_broken(kind.elementType)), F.lit(False))
+        elif isinstance(kind, T.StructType):
+            bad = bad | F.coalesce(_broken(lambda n, c=c: c[n], kind), F.lit(False))
+    return bad
+
+
+def _element_broken(kind: T.StructType) -> Callable[[Column], Column]:
+    return lambda x: _broken(lambda n: x[n], kind)
 
 
 def resolve(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """A table of an older schema as the reader's: promoted types, defaults for missing columns, extra ones skipped."""
-    have = dict(df.dtypes)
-    return df.select(*(
-        F.col(f.name).cast(f.dataType).alias(f.name)
-        if f.name in have
-        else F.lit(json.loads(f.metadata["default"]) if "default" in f.metadata else None).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ))
+    """A table of an older schema as the reader's, at any depth: promoted types, defaults for missing columns, extra ones
+    skipped."""
+    return df.select(*(c.alias(f.name) for f, c in zip(schema.fields, _resolved(lambda n: F.col(n), df.schema, schema), strict=True)))
+
+
+def _resolved(get: Callable[[str], Column], have: T.StructType, want: T.StructType) -> list[Column]:
+    kinds = {f.name: f.dataType for f in have.fields}
+
+    def value(c: Column, old: T.DataType, new: T.DataType) -> Column:
+        if old == new:
+            return c
+        if isinstance(new, T.StructType) and isinstance(old, T.StructType):
+            inner = F.struct(*(x.alias(f.name) for f, x in zip(new.fields, _resolved(lambda n: c[n], old, new), strict=True)))
+            return F.when(c.isNotNull(), inner)
+        if isinstance(new, T.ArrayType) and isinstance(old, T.ArrayType):
+            return F.transform(c, lambda x: value(x, old.elementType, new.elementType))
+        return c.cast(new)
+
+    out = []
+    for f in want.fields:
+        if f.name in kinds:
+            out.append(value(get(f.name), kinds[f.name], f.dataType))
+        else:
+            out.append(F.lit(json.loads(f.metadata["default"]) if "default" in f.metadata else None).cast(f.dataType))
+    return out
 
 
 def union_value(col: Column, kind: T.StructType) -> Column:

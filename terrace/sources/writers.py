@@ -10,7 +10,7 @@ CODECS = {"null": "none", "deflate": "gzip", "snappy": "snappy", "zstd": "zstd"}
 
 def codec(name: str) -> str:
     if name not in CODECS:
-        raise ValueError(f"Unrecognized codec: {name}")
+        raise ValueError(f"no such codec: {name}; there are {sorted(CODECS)}")
     return CODECS[name]
 
 
