@@ -29,16 +29,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in files that outlive executors."""
+    """df with its lineage cut, in files that outlive executors. Shuffle files that only the cut lineage needed stay on the
+    executors' disks until the driver collects its garbage, which a driver with little to do puts off, so it is asked to."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that only cut lineage needed: they stay on the executors' disks until the driver collects its
-    garbage, which a driver with little to do puts off."""
+    out = df.checkpoint()
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Keys that join_hot() joins by broadcast.
