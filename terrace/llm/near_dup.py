@@ -42,7 +42,7 @@ K, SIMILAR, SKETCHES, ORDER = 2, 0.8, 64, 3
 SHORT, SHORT_SKETCHES = 40, 24
 SIDE = ["id", "label", "keys", "words"]
 LEAST = 8
-PART, PART_WORDS, CHARS, FEW = 128, 40_000, 500_000, 100_000
+PART, PART_WORDS, CHARS, FEW = 512, 160_000, 500_000, 100_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
