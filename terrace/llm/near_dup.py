@@ -43,6 +43,7 @@ SHORT, SHORT_SKETCHES = 40, 24
 SIDE = ["id", "label", "keys", "words"]
 LEAST = 8
 PART, PART_WORDS, CHARS, FEW = 512, 160_000, 500_000, 100_000
+BLOCK = 1024
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(1099511628211)
 
@@ -304,19 +305,31 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
 
 def _most_shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """At least the number of words that each two texts share. A word with its occurrence is a place in a row of zeros and
-    ones; words of a text that fall on one place are counted besides."""
+    ones, of which ``BLOCK`` places are held at a time; words of a text that fall on one place are counted besides."""
     longest = max(len(x) for x in [*one, *two])
     places = min(1 << 14, 1 << max(8, (4 * longest).bit_length()))
 
-    def rows(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def marks(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in side])
-        m, text = np.zeros((len(side), places), np.float32), np.repeat(np.arange(len(side)), sizes)
-        m[text, labelled(np.concatenate(side).astype(np.uint64), text) % np.uint64(places)] = 1
-        return m, sizes - m.sum(1)
-
-    a, a_more = rows(one)
-    b, b_more = (a, a_more) if one is two else rows(two)
-    return a @ b.T + np.minimum(a_more[:, None], b_more)
+        text = np.repeat(np.arange(len(side)), sizes)
+        place = (labelled(np.concatenate(side).astype(np.uint64), text) % np.uint64(places)).astype(np.int64)
+        place, text = np.divmod(np.unique(place * len(side) + text), len(side))
+        return place, text, sizes - np.bincount(text, minlength=len(side))
+
+    def block(side: tuple[np.ndarray, np.ndarray, np.ndarray], low: int) -> np.ndarray:
+        place, text, more = side
+        some = slice(*np.searchsorted(place, [low, low + BLOCK]))
+        m = np.zeros((len(more), BLOCK), np.float32)
+        m[text[some], place[some] - low] = 1
+        return m
+
+    a = marks(one)
+    b = a if one is two else marks(two)
+    shared = np.minimum(a[2][:, None], b[2]).astype(np.float32)
+    for low in range(0, places, BLOCK):
+        left = block(a, low)
+        shared += left @ (left if one is two else block(b, low)).T
+    return shared
 
 
 def _part_links(key: int, texts: Any, others: Any, same: bool) -> set[tuple[int, int]]:
