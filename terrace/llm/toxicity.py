@@ -42,6 +42,7 @@ THREE = re.compile(r"([^\W\d_])\1\1")
 ANY = re.compile(r"[^\W\d_]+")
 SIZE = 64  # character classes of the language model
 SAMPLE = 4000
+CHARS = 500_000
 FOLDS = 3
 BEGINNINGS = (4, 5, 6)
 #: What is known of tokens without hits, one object for all that have as many words.
@@ -259,21 +260,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(counts, _lexicon(data), tuple(float(v) for v in _logistic(np.array(x), np.array(y, float))))
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches cut into runs of rows of about ``CHARS`` characters, or one longer text, so that what is made of them stays
+    small; no batch is held while the next one is read."""
+    for batch in batches:
+        run = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch["__text"]]) // CHARS
+        ends = [*(np.flatnonzero(np.diff(run)) + 1), len(batch)]
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            yield batch.iloc[start:end]
+        del batch
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, extra: list[str] | None = None) -> DataFrame:
     """doc_id, score, predicted, and the columns named in ``extra``: one row for each row of docs."""
-    passed = {f"__{c}": docs.schema[c].dataType.simpleString() for c in extra or []}
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), *(F.col(c).alias(f"__{c}") for c in extra or []))
+    passed = {"__text" if c == text else f"x_{c}": docs.schema[c].dataType.simpleString() for c in extra or []}
+    others = [F.col(c).alias(f"x_{c}") for c in extra or [] if c != text]
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), *others)
     shared = d.sparkSession.sparkContext.broadcast(model)  # SIZE^3 numbers and a lexicon of a bounded sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         channel, seen = Channel(m.counts), {}
-        for batch in batches:
-            out = [m.score(Counter(channel.joined(t).split()), seen, channel.fresh) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": out} | {c: batch[c].astype("Int64") if kind == "bigint" else batch[c] for c, kind in passed.items()})
+        for part in _slices(batches):
+            texts = [t if isinstance(t, str) else "" for t in part["__text"]]
+            out = [m.score(Counter(channel.joined(t).split()), seen, channel.fresh) for t in texts]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "score": out} | {c: part[c].astype("Int64") if kind == "bigint" else part[c] for c, kind in passed.items()})
 
     out = d.mapInPandas(run, ", ".join(["doc_id long", "score double", *(f"`{c}` {kind}" for c, kind in passed.items())]))
-    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(c).alias(c.removeprefix("__")) for c in passed))
+    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(c).alias(text if c == "__text" else c[2:]) for c in passed))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
