@@ -16,7 +16,7 @@ expression; keys without operations are only checked against killed parents by a
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +29,10 @@ OPS = ("insert", "update", "upsert", "delete")
 
 @dataclass(frozen=True)
 class NestedStore:
-    """Immutable: apply() returns the next state. layers: root first."""
+    """Immutable: apply() returns the next state. layers: root first. applied: last batch taken from each named source."""
 
     layers: tuple[tuple[LayerSpec, DataFrame], ...]
+    applied: dict[str, int] = field(default_factory=dict)
 
     def layer(self, name: str) -> tuple[LayerSpec, DataFrame]:
         return next((s, d) for s, d in self.layers if s.name == name)
@@ -59,22 +60,34 @@ class NestedStore:
             up = self.layers[i - 1] if i else None
             new, hist = _step(spec, base, ops.get(spec.name), up, hist)
             out.append((spec, new))
-        return NestedStore(tuple(out))
+        return NestedStore(tuple(out), self.applied)
 
-    def save(self, spark: SparkSession, root: str) -> int:
-        """Compaction: writes all layers as a new version, then its marker; readers take the last marked version, so a
-        job that dies half-way changes nothing. Returns the version."""
+    def save(self, spark: SparkSession, root: str, applied: dict[str, int] | None = None) -> int:
+        """Compaction: writes all layers as a new version, then its marker, which also tells the batches that are in it;
+        readers take the last marked version, so a job that dies half-way changes nothing. Returns the version."""
         version = (current_version(spark, root) or 0) + 1
         for spec, df in self.layers:
             df.sortWithinPartitions(*spec.pk).write.mode("overwrite").option("parquet.bloom.filter.enabled#" + spec.pk[0], "true").parquet(f"{root}/v{version}/{spec.name}")
-        meta = json.dumps([[s.name, list(s.pk), list(s.fk)] for s, _ in self.layers])
+        meta = json.dumps({"layers": [[s.name, list(s.pk), list(s.fk)] for s, _ in self.layers], "applied": self.applied | (applied or {})})
         spark.createDataFrame([(version, meta)], "version long, layers string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
         return version
 
     @staticmethod
     def open(spark: SparkSession, root: str) -> NestedStore:
         row = spark.read.parquet(f"{root}/versions").orderBy(F.desc("version")).first()
-        return NestedStore(tuple((LayerSpec(n, tuple(pk), tuple(fk)), spark.read.parquet(f"{root}/v{row.version}/{n}")) for n, pk, fk in json.loads(row.layers)))
+        meta = json.loads(row.layers)
+        return NestedStore(tuple((LayerSpec(n, tuple(pk), tuple(fk)), spark.read.parquet(f"{root}/v{row.version}/{n}")) for n, pk, fk in meta["layers"]), meta["applied"])
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Deletes the rows of all but the last ``keep`` versions. Nothing may still read the older ones."""
+    last = current_version(spark, root) or 0
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in range(last - max(1, keep), 0, -1):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}")
+        if not fs.exists(path):
+            break  # the ones before it went earlier
+        fs.delete(path, True)
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:

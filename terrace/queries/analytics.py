@@ -416,8 +416,9 @@ def _store(s, d) -> NestedStore:
 NUMBERED = "(select l_orderkey, row_number() over (partition by l_orderkey order by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) l_no, l_quantity from lineitem)"
 
 
-def _ops(df: DataFrame, op: str, first: int = 0) -> DataFrame:
-    return df.withColumn("op", F.lit(op)).withColumn("seq", F.monotonically_increasing_id() + first)
+def _ops(df: DataFrame, op: str) -> DataFrame:
+    """One operation a key, the first column, in the order of keys; a number that is the same whenever it is computed."""
+    return df.withColumn("op", F.lit(op)).withColumn("seq", F.col(df.columns[0]))
 
 
 @query("select c_custkey, c_name from customer where c_custkey % 10 = 1")

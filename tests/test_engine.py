@@ -7,11 +7,12 @@ from pyspark.sql import types as T
 
 from terrace.functions import predicates as P
 from terrace.operators.nest import LayerSpec, nest, nest_layers
-from terrace.operators.store import NestedStore, bulk_load
+from terrace.operators.store import NestedStore, bulk_load, vacuum
 from terrace.plans.cascade import Dataset
 from terrace.queries import analytics
 from terrace.schema import invalid_rows, leaves, narrow, parse_schema, resolve
 from terrace.sources import readers, writers
+from terrace.streaming.feed import apply_once, feed
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,6 +117,21 @@ def test_store_equals_sequential_model(spark, tmp_path):
     assert NestedStore.open(spark, str(tmp_path / "s")).layer("c")[1].count() == len(tables[2])
 
 
+def test_feed_applies_each_batch_once(spark, tmp_path):
+    root, ops = str(tmp_path / "s"), "seq long, op string, k long, v long"
+    bulk_load([(LayerSpec("a", ("k",)), spark.createDataFrame([(1, 1)], "k long, v long"))]).save(spark, root)
+    rows = lambda: {r.k: r.v for r in NestedStore.open(spark, root).layer("a")[1].collect()}
+    spark.createDataFrame([(0, "insert", 2, 2), (1, "delete", 1, None)], ops).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ops).parquet(str(tmp_path / "in"))
+    feed(stream, "a", root, str(tmp_path / "c")).awaitTermination()
+    assert rows() == {2: 2}
+    again = spark.createDataFrame([(0, "upsert", 2, 9)], ops)
+    assert not apply_once(again, "a", root, str(tmp_path / "c"), 0) and rows() == {2: 2}
+    assert apply_once(again, "a", root, str(tmp_path / "c"), 1) and rows() == {2: 9}
+    vacuum(spark, root, 1)
+    assert rows() == {2: 9} and not (tmp_path / "s" / "v1").exists() and not (tmp_path / "s" / "v2").exists()
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "x.tbl").write_text("1|a b|true|\n2||false|\n")
     df = readers.delimited(spark, str(tmp_path / "x.tbl"), T.StructType.fromDDL("k int, s string, b boolean"))
