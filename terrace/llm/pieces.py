@@ -89,6 +89,7 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN)
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.surface = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else text for text, _, kind in self.pieces]
         self.ids = {p[0]: i for i, p in enumerate(self.pieces) if p[2] in (NORMAL, USER)}
         self.score = [p[1] for p in self.pieces]
         self.pair: dict[tuple[str, str], bool] = {}
@@ -210,6 +211,8 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text without its dummy prefix; runs of byte pieces are UTF-8."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return self._plain("".join(map(self.surface.__getitem__, ids)))
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -218,11 +221,13 @@ class Transducer:
             if run:
                 out.append(run.decode("utf-8", "replace"))
                 run = bytearray()
-            text, _, kind = self.pieces[i]
-            out.append("" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else text)
+            out.append(self.surface[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        s = "".join(out).replace(MARK, " ")
+        return self._plain("".join(out))
+
+    def _plain(self, s: str) -> str:
+        s = s.replace(MARK, " ")
         return s[1:] if self.prefix and s.startswith(" ") else s
 
 
