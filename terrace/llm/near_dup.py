@@ -12,9 +12,10 @@
    ``PART`` texts, without any cap; only pairs that are joined already are left out.
 4. A pair is near when its edit similarity over words, 1 - distance / longer length, is at least 0.8, found by bit-parallel
    alignment in the band of diagonals that this similarity allows.
-5. Classes are the connected components of near pairs, by rounds of smallest-label propagation with checkpoints.
+5. Classes are the connected components of near pairs, of ``FEW`` pairs at most in one task, of more by rounds of
+   smallest-label propagation with checkpoints.
 
-Hot keys: joins by bucket, print and label go through ``join_hot``, which deals out the rows of the largest keys. Leaders and
+Hot keys: joins by bucket, print and node go through ``join_hot``, which deals out the rows of the largest keys. Leaders and
 labels are found by partial aggregates.
 
 Result: one row for each row of docs: doc_id, class_id (smallest id of its class), n_texts (different texts in the class).
@@ -268,17 +269,20 @@ def _rest_links(texts: DataFrame, rest: DataFrame) -> DataFrame:
     where neither their labels nor the pair's links join them already, and where no smaller key is among the ``LEAST`` smallest
     of both, under which they are compared too; so the links and labels give the classes of all near pairs of the buckets."""
     weight = F.greatest(F.lit(1.0), F.col("n") * (PART / PART_WORDS))
-    number = lambda c: F.ceil(F.col(c) / PART).cast("long")
-    own = rest.groupBy("key", "label").agg(F.sum(weight).alias("own")).withColumn("own_parts", F.when(F.col("own") >= PART, number("own")).otherwise(0))
-    per_key = own.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("own_parts") == 0, F.col("own"))), F.lit(0.0)).alias("pool"), F.sum("own_parts").alias("large_parts"))
-    before = W.partitionBy("key").orderBy("label").rowsBetween(W.unboundedPreceding, -1)
-    spans = own.where("own_parts > 0").select("key", "label", F.coalesce(F.sum("own_parts").over(before), F.lit(0)).alias("start"))
-    own = own.join(spans, ["key", "label"], "left")
-    dealt = join_hot(rest, own, ["key", "label"], "own", ["id"])
-    dealt = join_hot(dealt, per_key.select("*", (F.col("pool") + F.col("large_parts")).alias("size")), ["key"], "size", ["id"])
-    h, pool_parts, first = F.xxhash64("id", F.lit(3)), number("pool"), number("pool") + F.col("start")
-    part = F.when(F.col("own_parts") > 0, first + F.pmod(h, "own_parts")).otherwise(F.pmod(h, F.greatest(pool_parts, F.lit(1))))
-    dealt = dealt.select("key", "id", "label", part.alias("part"), F.struct((pool_parts + F.col("large_parts")).alias("parts"), first.alias("first"), (first + F.col("own_parts")).alias("end")).alias("span"))
+    number = lambda c: F.ceil(c / PART).cast("long")
+    own = rest.groupBy("key", "label").agg(F.sum(weight).alias("own"))
+    # a key's labels with parts of their own stand in one list, at most one label for PART of its texts, so that members meet
+    # one row by key and none by label
+    alone, pool_parts = F.when(F.col("own") >= PART, F.struct("label", number(F.col("own")).alias("parts"))), number(F.col("pool"))
+    pool = F.coalesce(F.sum(F.when(F.col("own") < PART, F.col("own"))), F.lit(0.0))
+    per_key = own.groupBy("key").agg(pool.alias("pool"), F.array_sort(F.collect_list(alone)).alias("large"), F.sum("own").alias("size"))
+    until = lambda i: pool_parts + F.aggregate(F.slice("large", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + x.parts)
+    spans = F.transform("large", lambda x, i: F.struct(x.label.alias("label"), until(i).alias("first"), (until(i) + x.parts).alias("end")))
+    per_key = per_key.select("key", "size", pool_parts.alias("pool_parts"), until(F.size("large")).alias("parts"), spans.alias("spans"))
+    dealt = join_hot(rest, per_key, ["key"], "size", ["id"]).withColumn("own", F.get(F.filter("spans", lambda x: x.label == F.col("label")), F.lit(0)))
+    h = F.xxhash64("id", F.lit(3))
+    part = F.when(F.col("own").isNotNull(), F.col("own.first") + F.pmod(h, F.col("own.end") - F.col("own.first"))).otherwise(F.pmod(h, F.greatest("pool_parts", F.lit(1))))
+    dealt = dealt.select("key", "id", "label", part.alias("part"), F.struct("parts", F.col("own.first").alias("first"), F.col("own.end").alias("end")).alias("span"))
     keys = rest.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEAST).alias("keys"))
     full = dealt.join(texts.join(keys, "id"), "id").select("key", "part", "span", F.struct(*SIDE).alias("text"))
     parts = full.groupBy("key", "part").agg(F.collect_list("text").alias("texts"), F.max("span").alias("span"))
@@ -371,10 +375,29 @@ def _is_star(edges: DataFrame) -> bool:
     return each.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
+def _lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (u, v) of a whole graph to its nodes (id, label) that aren't the smallest of their component, which is the label."""
+    edges = [b[["u", "v"]].to_numpy(np.int64) for b in batches]
+    if not edges:
+        return
+    nodes, at = np.unique(np.concatenate(edges), return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while ((a := root[u]) != (b := root[v])).any():
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    low = root != np.arange(len(nodes))
+    yield pd.DataFrame({"id": nodes[low], "label": nodes[root[low]]})
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each linked id's component, for all ids but the smallest. Large-star and small-star
+    """(id, label): the smallest id of each linked id's component, for all ids but the smallest. ``FEW`` edges at most, a fixed
+    number, are solved in one task, which spares the driver the tasks of all rounds. More go through large-star and small-star
     rounds; each keeps the number of edges, and their number grows with the logarithm of the component's size."""
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if edges.count() <= FEW:
+        return cut(edges.coalesce(1).mapInPandas(_lowest, "id long, label long"))
     while not _is_star(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +29,37 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Returns to the system what the driver's JVM has freed outside its heap, most of it by its compilers, which the C library
+    keeps otherwise. What the JVM says of it; None from a JVM that has no such command (before 17.0.9, or not on Linux)."""
+    sc = spark.sparkContext
+    lang, management, of = sc._jvm.java.lang, sc._jvm.javax.management, sc._jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        out = sc._gateway.new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    try:
+        # by the interface's method, since the server's class isn't public
+        kinds = map(of, ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"])
+        invoke = of("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *kinds))
+        name = management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, name, "systemTrimNativeHeap", None, None))
+    except Py4JError:
+        return None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in files that outlive executors. Shuffle files that only the cut lineage needed stay on the
-    executors' disks until the driver collects its garbage, which a driver with little to do puts off, so it is asked to."""
+    executors' disks until the driver collects its garbage, which a driver with little to do puts off, so it is asked to, and
+    to return what it has freed."""
     checkpoint_dir(df.sparkSession)
     out = df.checkpoint()
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+    trim(df.sparkSession)
     return out
 
 

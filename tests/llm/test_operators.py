@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, html, lines, near_dup, packing, permutation, pieces, queries, secret_scan, topk, toxicity
+from terrace.llm import chat, html, lines, near_dup, packing, permutation, pieces, queries, secret_scan, shared, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -183,6 +183,72 @@ def test_near_dup_joins_held_and_not_held(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dup_deals_labels_without_a_join_by_label(spark, monkeypatch):
+    """Buckets whose leader holds many members, so that their label has parts of its own: members meet one row by key, none by label."""
+    rng = random.Random(21)
+    rows = []
+    for star in range(3):
+        centre = [f"s{star}w{i}" for i in range(100)]
+        for copy in range(15):
+            w = list(centre)
+            for i in rng.sample(range(100), 12):
+                w[i] = f"e{star}x{copy}x{i}"
+            rows.append((1000 * star + copy, " ".join(w)))
+        first = rows[-15][1].split()
+        for held in range(20):
+            w = list(first)
+            w[rng.randrange(100)] = f"h{star}x{held}"
+            rows.append((1000 * star + 100 + held, " ".join(w)))
+        rows.append((1000 * star + 999, " ".join(centre)))
+    d = spark.createDataFrame(rows, "id long, text string")
+    hashed = d.mapInPandas(near_dup._hashed, "id long, print_a long, print_b long, n long, keys array<long>")
+    dealt, rest_links, real = [], near_dup._rest_links, near_dup.cut
+
+    def noted(texts, rest):
+        with monkeypatch.context() as m:
+            m.setattr(near_dup, "cut", lambda df: [dealt.append((rest, df)), real(df)][1])
+            return rest_links(texts, rest)
+
+    monkeypatch.setattr(near_dup, "PART", 8)
+    monkeypatch.setattr(near_dup, "_rest_links", noted)
+    pairs = near_dup.links(d, hashed.withColumn("keys", F.array(F.floor(F.col("id") / 1000))))
+    got = {i: i for i, _ in rows} | {r.id: r.label for r in near_dup.components(pairs).collect()}
+    assert got == brute_classes(rows)
+    ((rest, df),) = dealt
+    assert max(r["count"] for r in rest.groupBy("key", "label").count().collect()) > 2 * 8
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if "label#" in x]
+
+
+def test_components_of_few_and_of_many_pairs(spark, monkeypatch):
+    """A chain, a star, a few random graphs and loops: few pairs take one task and two checkpoints, more give the same by rounds."""
+    rng = random.Random(22)
+    pairs = [(i, i + 1) for i in range(300)] + [(2000, 1000 + i) for i in range(200)] + [(5000, 5000), (1 << 60, -(1 << 60))]
+    pairs += [(3000 + rng.randrange(400), 3000 + rng.randrange(400)) for _ in range(250)]
+    label = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = {i: low if x == high else x for i, x in label.items()}
+    want = {i: x for i, x in label.items() if i != x}
+    cuts, real = [], near_dup.cut
+    monkeypatch.setattr(near_dup, "cut", lambda df: [cuts.append(df), real(df)][1])
+    p = spark.createDataFrame(pairs, "a long, b long")
+    few = [tuple(r) for r in near_dup.components(p).collect()]
+    assert len(cuts) == 2 and len(few) == len(want) and dict(few) == want
+    assert near_dup.components(p.where("a = b")).isEmpty()
+    monkeypatch.setattr(near_dup, "FEW", 100)
+    many = [tuple(r) for r in near_dup.components(p).collect()]
+    assert len(cuts) > 6 and len(many) == len(want) and dict(many) == want
+
+
+def test_cut_returns_freed_memory(spark, monkeypatch):
+    """The driver's JVM is asked at each checkpoint; one without the command is left alone."""
+    said, real = [], shared.trim
+    monkeypatch.setattr(shared, "trim", lambda s: said.append(real(s)))
+    assert shared.cut(spark.range(3)).count() == 3
+    assert len(said) == 1 and (said[0] is None or "rim" in said[0])
+
+
 def test_sketches_meet_at_the_threshold():
     """Pairs at similarity 0.8 to 0.9: evenly spread and random changes, texts of 5 words and more."""
     import pandas as pd
