@@ -95,6 +95,18 @@ def test_nest_orphans(spark):
         sizes("error")
 
 
+def test_nest_lists_children_after_they_are_dealt_out(spark):
+    p, c = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(8, 1), (7, 1), (9, None)], "c int, f int")
+    x = nest(p, c, ("k",), ("f",), "l")
+    plan = x._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = lambda word: [(i, len(s) - len(s.lstrip(" :+-"))) for i, s in enumerate(plan) if word in s]
+    (early, _), *others = deep("partial_collect_list")
+    dealt = [i for i, _ in deep("Exchange hashpartitioning(f#")]
+    assert not others and len(dealt) == 1 and dealt[0] > early, plan  # one exchange of the children, below both aggregates
+    assert not deep("Exchange hashpartitioning(k#")[1:], plan
+    assert {r.k: [y.c for y in r.l] for r in x.collect()} == {1: [7, 8], 2: []}
+
+
 def model_apply(tables, ops):
     """One operation at a time. tables: three dicts key -> [fk, value]."""
 
